@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import mixing, packing, url_filter
+from . import media, mixing, packing, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_media": media.op3_media,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
