@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import media, mixing, packing, url_filter
+from . import licenses, media, mixing, packing, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_media": media.op3_media,
+    "op7_licenses": licenses.op7_licenses,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op7_licenses": licenses.ORACLE}
