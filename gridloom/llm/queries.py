@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import licenses, media, mixing, packing, url_filter
+from . import licenses, media, mixing, packing, simhash, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_media": media.op3_media,
     "op7_licenses": licenses.op7_licenses,
+    "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
 }
