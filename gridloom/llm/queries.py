@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import licenses, media, mixing, packing, simhash, url_filter
+from . import licenses, lz, media, mixing, packing, simhash, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_media": media.op3_media,
+    "op5_fingerprints": lz.op5_fingerprints,
     "op7_licenses": licenses.op7_licenses,
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
