@@ -1,11 +1,12 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import language, licenses, lz, media, mixing, packing, simhash, url_filter
+from . import language, licenses, lz, media, mixing, packing, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_language": language.op2_language,
     "op3_media": media.op3_media,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_fingerprints": lz.op5_fingerprints,
     "op7_licenses": licenses.op7_licenses,
     "op8_simhash": simhash.op8_simhash,
