@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import language, licenses, lz, media, mixing, packing, simhash, toxicity, url_filter
+from . import language, licenses, lz, media, mixing, packing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_media": media.op3_media,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_fingerprints": lz.op5_fingerprints,
+    "op6_quality": quality.op6_quality,
     "op7_licenses": licenses.op7_licenses,
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
