@@ -19,13 +19,19 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder once, so that later reads neither recompute it
-    nor depend on the executors that made it. The folder is the session's spark.checkpoint.dir;
-    a temporary one is made only where that is unset (local runs)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share: the session's spark.checkpoint.dir. A
+    temporary one is made only where that is unset (local runs)."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder once, so that later reads neither recompute it nor depend on
+    the executors that made it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

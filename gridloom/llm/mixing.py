@@ -52,11 +52,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
         .withColumn("__all_weight", F.sum("__weight").over(everything))
         .withColumn("__caps", F.sum("__cap").over(by_fill) - F.col("__cap"))
         .withColumn("__weights", F.sum("__weight").over(by_fill) - F.col("__weight"))
-        # the level if this source and all after it were uncapped
+        # the level if this source and all after it were uncapped: it rises up to the first that is, then falls
         .withColumn("__level", (F.col("__total") - F.col("__caps")).cast("double") / (F.col("__all_weight") - F.col("__weights")).cast("double"))
-        .withColumn("__level", F.min(F.when(F.col("__level") * F.col("__weight") <= F.col("__cap"), F.col("__level"))).over(everything))
+        .withColumn("__level", F.max("__level").over(everything))
     )
-    capped = F.least(F.col("__cap").cast("double"), F.coalesce(F.col("__level") * F.col("__weight"), F.col("__cap").cast("double")))
+    capped = F.least(F.col("__cap").cast("double"), F.col("__level") * F.col("__weight"))
     return ranked.select("__source", "source_size", capped.alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
@@ -96,9 +96,9 @@ filled AS (
     (sum(cap) OVER f)::BIGINT - cap AS caps, (sum(w) OVER f)::BIGINT - w AS ws
   FROM weighed WINDOW f AS (ORDER BY cap / w, n ROWS UNBOUNDED PRECEDING)),
 levels AS (SELECT *, (total - caps)::DOUBLE / (all_w - ws)::DOUBLE AS lev FROM filled),
-level AS (SELECT min(CASE WHEN lev * w <= cap THEN lev END) AS lev FROM levels),
+level AS (SELECT max(lev) AS lev FROM levels),
 targets AS (
-  SELECT l.source, l.source_size, least(l.cap::DOUBLE, coalesce(level.lev * l.w, l.cap::DOUBLE)) AS target FROM levels l, level),
+  SELECT l.source, l.source_size, least(l.cap::DOUBLE, level.lev * l.w) AS target FROM levels l, level),
 rated AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM targets),
 drawn AS (
   SELECT s.doc_id, s.size, r.source_size, r.target, r.rate,
