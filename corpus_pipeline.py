@@ -1,4 +1,55 @@
-STAGES = []
+"""A training corpus from raw documents, in five stages of this library's operators.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and
+returns a DataFrame, which is written as Parquet in the shared checkpoint folder and read again
+as the next stage's docs: a stage that fails is repeated from the last files, not from the start.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import language, mixing, packing, quality, simhash
+from gridloom.llm.common import shared_folder, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that trusted text doesn't predict."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without letters or of doubtful language."""
+    return language.keep_confident(docs, language.train(docs))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five-word shingles, 3 bits of 64)."""
+    return simhash.near_dedup(docs, width=5)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits each document as often as its source's weight asks for."""
+    return mixing.mix(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality_stage), ("language", language_stage), ("dedup", dedup_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
