@@ -1,4 +1,6 @@
 """All registered queries of the gridded-data library and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import grid_queries
+
+QUERIES = {**grid_queries.QUERIES}
+ORACLES = {**grid_queries.ORACLES}
