@@ -1,6 +1,6 @@
 """All registered queries of the gridded-data library and their SQL oracles."""
 
-from . import grid_queries
+from . import field_queries, grid_queries, run_queries
 
-QUERIES = {**grid_queries.QUERIES}
-ORACLES = {**grid_queries.ORACLES}
+QUERIES = {**grid_queries.QUERIES, **field_queries.QUERIES, **run_queries.QUERIES}
+ORACLES = {**grid_queries.ORACLES, **field_queries.ORACLES, **run_queries.ORACLES}
