@@ -12,7 +12,7 @@ own. All is Spark's own JVM code: SQL functions, HashingTF, LogisticRegression.
 vector of ``FEATURES`` numbers, whatever the input's size; scoring is a projection without shuffle.
 
 Defined results: null or a url without ``://`` has an empty host and path, which no rule fits and
-which the classifier judges by its marks alone; repeated rows get equal verdicts; without
+which the classifier judges without any feature; repeated rows get equal verdicts; without
 labelled rows of both kinds every undecided url gets the one kind there is, or ``allow``; an
 empty table gives an empty result. Other columns are carried along, but for those this operator
 adds (``host``, ``path``, ``rule``, ``verdict``, ``block_score``).
@@ -55,7 +55,7 @@ def with_rules(urls: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
 
 def _grams(text: Column, mark: str, sizes) -> list[Column]:
     marked = F.concat(F.lit("<"), text, F.lit(">"))
-    return [F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.concat(F.lit(mark), F.substring(marked, i, F.lit(n)))) for n in sizes]
+    return [F.transform(F.regexp_extract_all(marked, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)), lambda g: F.concat(F.lit(mark), g)) for n in sizes]
 
 
 def with_features(parts: DataFrame, sizes=SIZES, features: int = FEATURES) -> DataFrame:
