@@ -21,6 +21,7 @@ empty result. Other columns are ignored. Ids are numbers.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 
 import numpy as np
@@ -79,11 +80,12 @@ def likeness(a: np.ndarray, b: np.ndarray, k: int = SIGNATURE) -> float:
 
 
 def as_text(signature: np.ndarray) -> str:
-    return signature.astype(">u4").tobytes().hex()
+    """Base64 of the hashes, four bytes each."""
+    return base64.b64encode(signature.astype(">u4").tobytes()).decode()
 
 
 def from_text(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
+    return np.frombuffer(base64.b64decode(fingerprint), ">u4").astype(np.uint32)
 
 
 def fingerprint_of(text: str | None, k: int = SIGNATURE) -> str:
@@ -105,7 +107,7 @@ def _in_blocks(docs: DataFrame, partitions: int, blocks: int) -> DataFrame:
     """docs (__id, __text) with __block and __own, ready to be read block by block in descending
     order; at the end of each block, with __own false, stands the next block's first row."""
     bounds = docs.select(F.percentile_approx("__id", [i / blocks for i in range(1, blocks)], 20 * blocks)).first()[0] or []
-    splits = [-float("inf"), *sorted({float(b) for b in bounds}), float("inf")]
+    splits = [-float("inf"), *sorted({float(b) for b in bounds} or {0.0}), float("inf")]
     blocked = Bucketizer(splits=splits, inputCol="__x", outputCol="__block", handleInvalid="keep").transform(docs.withColumn("__x", F.col("__id").cast("double"))).drop("__x")
     blocked = blocked.withColumn("__block", F.coalesce(F.when(F.col("__id").isNotNull(), F.col("__block")), F.lit(-1.0)).cast("int"))
     heads = sorted((tuple(r) for r in blocked.groupBy("__block").agg(F.max("__id")).collect()), key=lambda r: -r[0])  # a row a block
