@@ -1 +1 @@
-
+"""DataFrame operators on gridded tables, fields and run logs."""

@@ -1 +1 @@
-
+"""Registered queries, each with SQL that computes the same."""

@@ -35,9 +35,8 @@ def firsts(spark, sf_dir):
 
 
 def pairs(spark, sf_dir):
-    """Exchanged once by configuration; both the first runs and the pairs follow within it."""
-    together = log(spark, sf_dir).repartition(*CONFIG)
-    return runs.pair_runs(runs.dedupe_runs(together, KEY, ORDER), CONFIG, ["runtime", "frames"])
+    """First runs and pairs in one exchange."""
+    return runs.pair_first_runs(log(spark, sf_dir), CONFIG, ["runtime", "frames"], ORDER)
 
 
 def _dedupe(spark, sf_dir):
@@ -168,6 +167,7 @@ QUERIES = {
     "run_dedupe": _dedupe,
     "run_sorted": _sorted,
     "run_pairs": pairs,
+    "run_pairs_of_firsts": lambda s, d: runs.pair_runs(firsts(s, d), CONFIG, ["runtime", "frames"]),
     "run_hardware_pairs": _hardware,
     "run_union": _union,
     "run_upsert": _upsert,
@@ -201,6 +201,7 @@ ORACLES = {
     "run_dedupe": f"WITH {LOG}{FIRST} SELECT mode, size, block, share, runtime, l_orderkey FROM firsts",
     "run_sorted": f"WITH {LOG}{FIRST} SELECT mode, size, block, share, runtime, lag(runtime) OVER (PARTITION BY mode, size ORDER BY block, share) AS before FROM firsts",
     "run_pairs": f"WITH {LOG}{FIRST}{PAIRS} SELECT * FROM pairs",
+    "run_pairs_of_firsts": f"WITH {LOG}{FIRST}{PAIRS} SELECT * FROM pairs",
     "run_hardware_pairs": f"WITH {LOG}, f AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY l_returnflag, mode, size, block, share ORDER BY l_shipdate, l_orderkey, l_partkey, l_suppkey, runtime) = 1) SELECT a.mode, a.size, a.block, a.share, a.runtime / b.runtime AS ratio FROM f a JOIN f b ON a.mode = b.mode AND a.size = b.size AND a.block = b.block AND a.share = b.share AND a.l_returnflag = 'A' AND b.l_returnflag = 'R'",
     "run_union": f"WITH {LOG} SELECT CASE l_returnflag WHEN 'A' THEN 'old' ELSE 'new' END AS hardware, count(*) AS n, count(CASE WHEN l_returnflag = 'A' THEN frames END) AS with_frames FROM log WHERE l_returnflag IN ('A', 'R') GROUP BY 1",
     "run_upsert": "SELECT l_orderkey, l_linenumber, coalesce(max(CASE WHEN l_shipdate >= '1998-01-01' THEN l_extendedprice END), max(l_extendedprice)) AS runtime FROM lineitem GROUP BY ALL",

@@ -1 +1 @@
-
+"""No unbounded sources are in this library's scope; its operators are batch DataFrames."""
