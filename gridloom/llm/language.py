@@ -18,8 +18,6 @@ an empty result. Other columns are ignored by ``predict`` and carried along by `
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +28,6 @@ from .samples import fold, per_class
 
 WINDOW, DIMS, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
 SAMPLE, STRETCH, EPOCHS, MIN_SCORE = 500, 384, 8, 0.5
-LETTER = re.compile(r"[^\W\d_]")
 POSITIONS = WINDOW - max(WIDTHS) + 1
 
 
@@ -133,7 +130,7 @@ def scored(texts: list[str | None], net: ByteNet | None) -> list[tuple[str, floa
     """Language and its probability of each text, a few megabytes at a time."""
     found, sizes = [("und", 0.0)] * len(texts), np.cumsum([len(t or "") for t in texts]) // 2_000_000
     for g in np.unique(sizes) if net else []:
-        rows = [i for i in np.flatnonzero(sizes == g) if texts[i] and LETTER.search(texts[i])]
+        rows = [i for i in np.flatnonzero(sizes == g) if any(map(str.isalpha, texts[i] or ""))]
         if rows:
             windows, owner, filled = windows_of([texts[i].encode() for i in rows])
             total = np.add.reduceat(net.probabilities(windows) * filled[:, None], np.searchsorted(owner, np.arange(len(rows))), axis=0)

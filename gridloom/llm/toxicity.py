@@ -149,9 +149,9 @@ def learn_words(labelled: DataFrame) -> dict[str, float]:
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"), F.size(F.array_distinct(F.array(F.min("w1"), F.max("w2"), F.max("w1"), F.min("w2")))).alias("many"))
         .filter((F.col("t") >= WITNESSES) & (~F.endswith("form", F.lit("*")) | (F.col("many") >= WORDS_OF_STEM)))
     )
-    totals = labelled.groupBy().agg(F.sum("toxic").alias("ts"), F.sum(1 - F.col("toxic")).alias("cs"))
-    odds = ((F.col("t") + 0.5) / (F.col("ts") + 1)) / ((F.col("c") + 0.5) / (F.col("cs") + 1))
-    found = counts.crossJoin(F.broadcast(totals)).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.col("odds").desc(), "form").limit(WORDS)  # totals: one row
+    toxic, clean = (n or 0 for n in labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
+    found = counts.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.col("odds").desc(), "form").limit(WORDS)
     return {r["form"]: min(HARM, log(r["odds"])) for r in found.collect()}
 
 

@@ -76,7 +76,7 @@ def judge(urls: DataFrame, labelled: DataFrame | None = None, rules=RULES, url:
     """urls with host, path, rule, verdict and block_score (null where a rule decides)."""
     ruled = with_rules(urls.drop("host", "path", "rule", "verdict", "block_score"), rules, url)
     if labelled is None:
-        known = ruled.filter("rule IS NOT NULL").select("host", "path", (F.col("verdict") == "block").cast("int").alias("label"), F.xxhash64(url).alias("__h")).dropDuplicates(["host", "path"])
+        known = ruled.filter("rule IS NOT NULL").select("host", "path", (F.col("verdict") == "block").cast("int").alias("label")).distinct().withColumn("__h", F.xxhash64("host", "path"))
         labelled = known.orderBy("__h", "host", "path").limit(n_labelled).select("host", "path", "label").coalesce(1)
     else:
         labelled = with_parts(labelled.select("url", "label"))
