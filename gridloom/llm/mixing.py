@@ -18,7 +18,8 @@ are carried along; columns named like those this operator adds (``size``, ``sour
 ``target``, ``rate``, ``copies``, ``taken``) are replaced.
 
 The table of sources (a row for each) is ordered in one task: it must fit there, which holds for
-sources that people name.
+sources that people name. It is written once and counted: up to ``FEW`` sources are broadcast, so that
+texts are not shuffled; more are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, MAX_REPEATS, SEED = (5, 2, 1), 3, "mix-1"
+FEW = 50_000  # sources, of a few dozen bytes each, that are broadcast
 ADDED = ("size", "source_size", "target", "rate", "copies", "taken")
 
 
@@ -63,11 +65,12 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
 def with_copies(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source: str = "source") -> DataFrame:
     """docs with size, source_size, target, rate, copies (times to emit) and taken (copies * size)."""
     sized = docs.drop(*(c for c in ADDED if c not in (id_col, text_col, source))).withColumn("size", n_words(F.col(text_col)))
-    targets = source_targets(sized.select(source, "size"), weights, max_repeats, source)
+    targets = cut(source_targets(sized.select(source, "size"), weights, max_repeats, source))
+    few = targets.limit(FEW + 1).count() <= FEW
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") / float(16**12)
     whole = F.floor("rate")
     return (
-        sized.join(targets, sized[source].eqNullSafe(targets["__source"]))
+        sized.join(F.broadcast(targets) if few else targets, sized[source].eqNullSafe(targets["__source"]))
         .drop("__source")
         .withColumn("copies", F.least(whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0), F.lit(max_repeats)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
