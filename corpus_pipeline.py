@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import language, mixing, packing, quality, simhash
+from gridloom.llm import language, mixing, near, packing, quality
 from gridloom.llm.common import shared_folder, table
 
 
@@ -27,8 +27,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (five-word shingles, 3 bits of 64)."""
-    return simhash.near_dedup(docs, width=5)
+    """Keeps one document of each group of near copies (five-word shingles, likeness 0.8 or more)."""
+    return near.keep_one(docs, width=5, likeness=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
