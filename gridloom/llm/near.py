@@ -17,7 +17,10 @@ different components are. So every candidate pair is verified or already connect
 There are 8192 places a part. A task holds one place; comparisons in places grow with the square
 of the number of distinct sets, rows with their number.
 
-Defined results: null, empty and blank texts are equal; texts with fewer words than a shingle are
+A group's keeper is one row, found by a hash of all its columns; only rows that stand more than once
+are shuffled to keep one of them.
+
+Defined results: repeated rows, rows of one id and rows without ids are copies like others; null, empty and blank texts are equal; texts with fewer words than a shingle are
 one shingle; an empty table gives an empty result.
 """
 
@@ -169,8 +172,9 @@ def set_roots(sets: DataFrame, docs: DataFrame, width: int = WIDTH, likeness: fl
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
-    """The rows of docs with the least id of each group."""
-    row = F.xxhash64(id_col, text_col)
+    """One row of docs for each group: that of the least id, nulls last; of equal rows one."""
+    plain = [c for c, kind in docs.dtypes if not kind.startswith("map")]
+    row = F.xxhash64(*plain, *(F.col(c).isNull() for c in plain))  # the hash alone passes over nulls
     texts = docs.select(row.alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = cut(shingle_sets(texts, width))
     # nulls last; a row stands for its set and its set's group
@@ -179,4 +183,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     roots = set_roots(sets.drop("least"), texts.select("row", "text"), width, likeness)
     grouped = sets.join(roots, sets["sid"] == roots["node"], "left").groupBy(F.coalesce("root", "sid").alias("root"))
     kept = grouped.agg(F.min("least").alias("least")).select(F.col("least.row").alias("__kept"))
-    return docs.join(kept, row == kept["__kept"], "left_semi")
+    kept = cut(kept.join(prints.groupBy(F.col("row").alias("__kept")).agg((F.count("*") > 1).alias("__again")), "__kept"))
+    of = lambda again: docs.withColumn("__row", row).join(kept.filter(F.col("__again") == again), F.col("__row") == F.col("__kept"), "left_semi")
+    return of(False).unionByName(of(True).dropDuplicates(["__row"])).drop("__row")

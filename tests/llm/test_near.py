@@ -54,3 +54,21 @@ def test_large_group_of_near_copies(spark):
     texts = [" ".join(base[:k] + ["new", str(k)] + base[k + 1 :]) for k in range(300)] + ["other text of its own"] * 50
     kept = near.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 300]
+
+
+def test_one_row_of_each_group(spark):
+    text = "the same words in every one of these rows"
+    rows = [(6, text, "a"), (6, text, "a"), (6, text, "b"), (None, text, "a"), (9, text, None)]
+    rows += [(None, "a group without any id", "a"), (None, "a group without any id", "b"), (None, "another group without id", "a")]
+    rows += [(6, "an id that is least elsewhere too", "a"), (5, "an id that is least elsewhere too", "a")]
+    rows += [(20, None, "a"), (21, "", "a"), (22, None, None), (None, None, "a"), (None, "a", None)]
+    kept = near.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+    assert kept.columns == ["doc_id", "text", "source"]
+    assert got == [("20", ""), ("5", "an id that is least elsewhere too"), ("6", text), ("None", "a"), ("None", "a group without any id"), ("None", "another group without id")]
+
+
+def test_odd_rows(odd, none):
+    kept = near.keep_one(odd)
+    assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == ["1", "10", "2", "4", "6", "9", "None"] and kept.columns == odd.columns
+    assert near.keep_one(none).count() == 0
