@@ -3,7 +3,9 @@
 A text is cut into clauses and each clause into words; words are read as symbols: insult, threat,
 target, negation, reporting verb, other. Five small transducers read the same symbols:
 
-* insult and threat pass on the weight of the words of their kind;
+* insult passes on the weight of insults and words of threats;
+* threat notes a word of threat and somebody addressed, in any order; both together raise the
+  clause's weight to that of a sure insult ("I will kill you");
 * target notes whether somebody is addressed, before or after, and raises the clause's weight;
 * negation lowers what follows within three words ("not a ...");
 * reported speech lowers what follows a reporting verb in the clause ("called him a ...").
@@ -14,7 +16,7 @@ weight is the composed machine's output along the clause, a text's the sum over
 The insult words, and word beginnings that several of them share, are learned from labelled texts
 and weighted by log-odds. A place (a word after another) counts for one text only, so that copies
 of a labelled text are one witness and what is frequent in a single text is too. The words of
-threats, targets, negations and reports are fixed. A logistic curve of two numbers, fitted to the same labels, makes the weight
+threats, targets, negations and reports are fixed, and so is the weight of a threat. A logistic curve of two numbers, fitted to the same labels, makes the weight
 a score.
 
 Training takes about ``SAMPLE`` labelled rows of each label (a hash of the id decides); their ids,
@@ -50,6 +52,10 @@ NEGATIONS = "not no never neither nor without hardly isn't aren't wasn't don't d
 REPORTS = "said says say called calls wrote writes claimed claims reported quoted quote quotes alleged dit disait appelle écrit sagte sagt nannte schrieb dijo dice llamó escribió"
 THREATS = "kill hurt destroy beat shoot burn attack punish tuer frapper töten schlagen matar golpear"
 SCOPE, TARGET_GAIN, NEGATED, REPORTED, HARM = 3, 1.25, 0.35, 0.5, 4.0
+# Set beforehand, as few labelled texts hold a threat: a word of threat alone weighs little, joined with a
+# target as much as the surest insult.
+THREATENED = 1.0
+THREAT_GAIN = HARM / THREATENED
 
 
 def _compose(*machines):
@@ -76,15 +82,19 @@ def grammar():
     """Arcs [state][symbol] to (state, factor), and each state's factor at a clause's end."""
     keep = lambda s: 1.0
     insult = (0, lambda s, x: (0, 1.0 if x in (INSULT, THREAT) else 0.0), keep)
-    threat = (0, lambda s, x: (1 if x == THREAT else s, 1.0), keep)
+    threat = ((False, False), lambda s, x: ((s[0] or x == THREAT, s[1] or x == TARGET), 1.0), lambda s: THREAT_GAIN if all(s) else 1.0)
     target = (0, lambda s, x: (1 if x == TARGET else s, 1.0), lambda s: TARGET_GAIN if s else 1.0)
     negation = (0, lambda s, x: (SCOPE if x == NEGATION else max(0, s - 1), NEGATED if s and x in (INSULT, THREAT) else 1.0), keep)
     report = (0, lambda s, x: (1 if x == REPORT else s, REPORTED if s and x in (INSULT, THREAT) else 1.0), keep)
     return _compose(insult, threat, target, negation, report)
 
 
+_THREATS = frozenset(THREATS.split())
+
+
 class _Weights(dict):
-    """Word to the greatest weight of itself and its beginnings (written ``abc*``)."""
+    """Word to the greatest weight of itself and its beginnings (written ``abc*``); words of threats
+    weigh THREATENED at least."""
 
     def __init__(self, learned: dict[str, float]):
         self.learned = learned
@@ -93,7 +103,7 @@ class _Weights(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         get = self.learned.get
-        self[word] = found = max(get(word, 0.0), *(get(word[:n] + "*", 0.0) for n in STEMS))
+        self[word] = found = max(get(word, 0.0), THREATENED if word in _THREATS else 0.0, *(get(word[:n] + "*", 0.0) for n in STEMS))
         return found
 
 
