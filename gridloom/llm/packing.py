@@ -1,21 +1,24 @@
 """Harmonic packing of tokenised documents into sequences of fixed capacity.
 
-A document's ids are cut into pieces whose lengths are reciprocal fractions of the capacity:
-whole capacities first, then the halves, quarters, eighths ... that add up to the rest. A class
-(length capacity / j) fills a sequence with exactly j pieces. Workers are hash shards of the
-pieces; each fills its classes on its own, longest first, by one running sum: as every length
-divides the longer ones, no piece ever crosses the end of a sequence, and what a class leaves
-over is filled by the next. A worker's last, partial sequence is closed at powers of two (its
-length in binary), which need no padding. So there is no padding at all, whatever the number of
-workers, and no worker waits for another.
+Lengths fall into reciprocal classes: class j holds what is longer than capacity / (j + 1) and at
+most capacity / j, and a bin of class j takes exactly j documents, whole. Workers are Spark's
+tasks: each tokenises its own rows and, whenever about ``UNIT`` tokens have come together, fills
+its classes' bins by itself, without a shuffle and without waiting for another worker.
+
+Whatever such bins leave free is filled up with documents that are cut: the shortest of the unit, just as
+many as are needed, laid end to end over the free places in order. Documents longer than the
+capacity first give whole sequences; their rest is classed like a document. What the fillers have
+left in the end, less than one sequence, closes the unit at powers of two (that length in
+binary), which need no padding. So there is no padding, and a document is only cut if it is longer than the
+capacity, a filler at the end of a free place, or in the unit's last sequence.
 
 Tokens come from a public tokenizer file; ids of white-space separated words are remembered in
-each Python worker (a bounded memory), as this tokenizer never joins across white space. Only
-places, lengths and checksums of pieces are shuffled, never texts or ids.
+each Python worker (a bounded memory), as this tokenizer never joins across white space. A task
+holds one unit's ids (some 16 MB, or one document if that is longer).
 
 Defined results: null and empty texts are the closing id alone (one piece of length 1); repeated
-rows are packed each on its own; rows with equal ids may share a sequence; an empty table gives
-no pieces. Other columns are ignored.
+rows and rows with equal ids are packed each on its own; an empty table gives no pieces. Other
+columns are ignored. Sequences depend on how rows are dealt to tasks, pieces' contents don't.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 
-from .common import shuffle_partitions, table
+from .common import table
 
 CAPACITY, END_ID, REMEMBERED = 4096, 2, 1_000_000
+UNIT, UNIT_DOCUMENTS = 1 << 22, 1 << 17  # tokens, or documents, that a worker packs at once
 ASCII_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _words: dict[str, "WordIds"] = {}
 
@@ -64,58 +68,79 @@ def token_bytes(text: str | None, path: str, end_id: int = END_ID) -> bytes:
     return b"".join(map(_words[path].__getitem__, (text or "").encode().split())) + end_id.to_bytes(4, "little")
 
 
-def piece_lengths(n: int, capacity: int) -> list[int]:
-    return [capacity] * (n // capacity) + [1 << b for b in range(capacity.bit_length() - 2, -1, -1) if (n % capacity) >> b & 1]
-
-
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens: a row for each piece."""
+def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, ...]:
+    """The unit's documents (their lengths, at least 1) as pieces: document, start, length, sequence (from 0),
+    offset."""
+    lengths = np.asarray(lengths, np.int64)
+    whole, rest = lengths // capacity, lengths % capacity
+    long = np.repeat(np.arange(len(lengths)), whole)
+    nth = np.arange(len(long)) - np.repeat(np.cumsum(whole) - whole, whole)
+    found = [(long, nth * capacity, np.full(len(long), capacity), np.arange(len(long)), np.zeros(len(long), np.int64))]
+
+    order = np.argsort(-rest, kind="stable")[: np.count_nonzero(rest)]
+    size = rest[order]
+    fits = capacity // np.maximum(size, 1)  # the class: so many documents to a bin
+    new_class = np.r_[True, fits[1:] != fits[:-1]][: len(fits)]
+    rank = np.arange(len(fits)) - np.maximum.accumulate(np.where(new_class, np.arange(len(fits)), 0))
+    first = np.flatnonzero(rank % np.maximum(fits, 1) == 0)  # each bin's first document
+    ends = np.cumsum(size)
+    fill = np.add.reduceat(size, first) if len(first) else size
+    free = np.cumsum(capacity - fill)
+    left = size.sum() - np.cumsum(fill)  # tokens beyond each bin, in shorter documents
+    bins = int(np.searchsorted(free > left, True))  # as many as the documents beyond them fill up
+    kept = int(first[bins]) if bins < len(first) else len(size)
+    own = np.searchsorted(first[:bins], np.arange(kept), side="right") - 1
+    offset = (ends - size)[:kept] - (ends - size)[first[:bins]][own] if kept else np.zeros(0, np.int64)
+    found.append((order[:kept], (lengths - rest)[order[:kept]], size[:kept], len(long) + own, offset))
+
+    # fillers end to end over the free places, the last of which are powers of two
+    over = int(size[kept:].sum())
+    last = over - (int(free[bins - 1]) if bins else 0)
+    closing = np.array([1 << b for b in range(capacity.bit_length() - 1, -1, -1) if last >> b & 1], np.int64)
+    room = np.r_[capacity - fill[:bins], closing]
+    base = np.r_[fill[:bins], np.zeros(len(closing), np.int64)]
+    place_of = np.flatnonzero(room)
+    room_start = (np.cumsum(room) - room)[place_of]
+    doc_start = (ends - size)[kept:] - (ends - size)[kept] if kept < len(size) else np.zeros(0, np.int64)
+    at = np.unique(np.r_[room_start, doc_start])
+    which, where = np.searchsorted(doc_start, at, side="right") - 1, np.searchsorted(room_start, at, side="right") - 1
+    filler = order[kept:][which]
+    found.append((filler, (lengths - rest)[filler] + at - doc_start[which], np.diff(np.r_[at, over]), len(long) + place_of[where], base[place_of[where]] + at - room_start[where]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, unit: int = UNIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs to doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row a piece."""
     if capacity & (capacity - 1):
         raise ValueError("the capacity must be a power of two")
     path = path or public_tokenizers.path("word_bpe_49k.json")
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def cut_up(batches):
+    def packed(names, ids, first, kind):
+        lengths = np.array([len(i) // 4 for i in ids], np.int64)
+        doc, start, length, sequence, offset = place(lengths, capacity)
+        sums = [zlib.crc32(memoryview(ids[d])[a:b]) for d, a, b in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist())]
+        for a in range(0, len(doc), 50_000):
+            b = a + 50_000
+            columns = (start[a:b], length[a:b], sums[a:b], lengths[doc[a:b]], first + sequence[a:b], offset[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([names[d] for d in doc[a:b].tolist()], kind), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+    def run(batches):
+        names, ids, held, kind, sequences = [], [], 0, None, TaskContext.get().partitionId() << 40
         for batch in batches:
-            rows = [[], [], [], [], []]
-            for k, text in enumerate(batch.column(1)):
-                ids = memoryview(token_bytes(text.as_py(), path, end_id))
-                start, total = 0, len(ids) // 4
-                for n in piece_lengths(total, capacity):
-                    for column, x in zip(rows, (k, start, n, zlib.crc32(ids[start * 4 : (start + n) * 4]), total)):
-                        column.append(x)
-                    start += n
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[0], pa.int64())), *(pa.array(x, pa.int64()) for x in rows[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long")
-
-
-def place(cut_pieces: DataFrame, capacity: int = CAPACITY, workers: int | None = None) -> DataFrame:
-    """Adds sequence_id and offset to pieces whose lengths are capacity / 2^i."""
-    workers = workers or shuffle_partitions(cut_pieces.sparkSession)
-    own = Window.partitionBy("__worker")
-    filled = own.orderBy(F.col("length").desc(), "doc_id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    spread = cut_pieces.withColumn("__worker", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(workers)))
-    at = spread.withColumn("__at", F.sum("length").over(filled) - F.col("length")).withColumn("__rest", F.sum("length").over(own))
-    whole = F.col("__at") - F.pmod("__at", F.lit(capacity))
-    within, rest = F.pmod("__at", F.lit(capacity)), F.pmod("__rest", F.lit(capacity))
-    last = whole == F.col("__rest") - rest
-    # in the last sequence: the highest bit in which the place and the rest differ tells the power of two
-    bit = F.floor(F.log2(within.bitwiseXOR(rest).cast("double"))).cast("int")
-    high = F.when(last, bit).otherwise(capacity.bit_length() - 1)
-    begin = F.when(last, F.expr("shiftleft(shiftright(__in_rest, __high + 1), __high + 1)")).otherwise(F.lit(0))
-    return (
-        at.withColumn("__high", high)
-        .withColumn("__in_rest", rest)
-        .withColumn("offset", within - begin)
-        .withColumn("sequence_id", F.shiftleft("__worker", 44) + F.floor(F.col("__at") / capacity) * 16 + F.col("__high"))
-        .drop("__worker", "__at", "__rest", "__high", "__in_rest")
-    )
-
-
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, workers: int | None = None, **columns) -> DataFrame:
-    """docs to doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row a piece."""
-    return place(pieces(docs, path, capacity, **columns), capacity, workers)
+            kind = batch.schema.field(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                names.append(name)
+                ids.append(token_bytes(text.as_py(), path, end_id))
+                held += len(ids[-1]) // 4
+                if held >= unit or len(ids) >= UNIT_DOCUMENTS:
+                    yield from packed(names, ids, sequences, kind)
+                    sequences += held  # more than there were sequences
+                    names, ids, held = [], [], 0
+        if ids:
+            yield from packed(names, ids, sequences, kind)
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,11 @@ import zlib
 
 import duckdb
 import numpy as np
-import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.llm import components, flac, language, licenses, lz, media, mixing, packing, quality, queries, simhash, toxicity, url_filter
+from gridloom.llm import components, flac, language, licenses, lz, media, mixing, quality, queries, simhash, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -270,44 +269,6 @@ def test_simhash(spark, local):
         assert r["fingerprint"] == "%016x" % (prints[r["doc_id"]] & simhash.ALL) and r["component_id"] == least[root[prints[r["doc_id"]]]]
 
 
-def check_packing(rows, ids):
-    by_doc, by_seq = {}, {}
-    for r in rows:
-        by_doc.setdefault(r["doc_id"], []).append(r)
-        by_seq.setdefault(r["sequence_id"], []).append(r)
-    for name, parts in by_doc.items():
-        at = 0
-        for r in sorted(parts, key=lambda r: r["start"]):
-            assert r["start"] == at and r["doc_tokens"] == len(ids[name])
-            at += r["length"]
-            assert r["ids_crc32"] == zlib.crc32(ids[name][r["start"] : at].tobytes())
-        assert at == len(ids[name])
-    for parts in by_seq.values():
-        at = 0
-        for r in sorted(parts, key=lambda r: r["offset"]):
-            assert r["offset"] == at
-            at += r["length"]
-        assert at <= 4096 and at & (at - 1) == 0  # no padding
-    assert set(by_doc) == set(ids)
-
-
-def test_packing(spark, local):
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    ids = {r.doc_id: np.array([*t.encode(r.text, add_special_tokens=False).ids, 2], "<u4") for r in local.itertuples()}
-    check_packing(queries.QUERIES["op9_packing"](spark, SF).collect(), ids)
-
-
-def test_word_ids():
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    for text in ("Don't we'll 'S I'M", "a<|endoftext|>b <|x|>", "Straße ÉTÉ İstanbul ΟΔΟΣ", "x\x1cy\x85z w", "é ﬁ ①", "12,3.4!!??", "\x00\x7f a", "日本 🎉"):
-        assert np.frombuffer(packing.token_bytes(text, path), "<u4")[:-1].tolist() == t.encode(text, add_special_tokens=False).ids
-
-
 def test_urls_learn_rules(spark):
     got = queries.QUERIES["op10_url_filter"](spark, "/root/testdata/sf0.01").toPandas()
     assert set(got.verdict) == {"allow", "block"} and got.rule.isna().any()
