@@ -40,6 +40,25 @@ def test_mixing_is_repeated_resharing(spark, docs, local):
     assert all(abs(target[r.source] - r.target) < 1e-6 for r in got.itertuples()) and (got.taken <= 3 * got["size"]).all()
 
 
+@pytest.mark.parametrize("sf,near", [("sf0.001", None), ("sf0.01", 0.05), ("sf0.1", 0.02)])
+def test_sources_come_near_their_targets(spark, sf, near):
+    """Within half of the largest document always, and within some percent where a source has 50 documents or 500."""
+    got = queries.QUERIES["op1_mixing"](spark, f"/root/testdata/{sf}").toPandas()
+    for (_, target), part in got.groupby(["source_size", "target"]):
+        assert abs(part.taken.sum() - target) <= part["size"].max() / 2 + 1e-6
+        assert near is None or abs(part.taken.sum() - target) <= near * target
+
+
+def test_a_hot_source_and_rows_without_ids(spark):
+    r = random.Random(3)
+    rows = [(None if i % 3 == 0 else i, f"n{i} " * r.randrange(1, 60), "hot" if i % 3 else "b") for i in range(3000)]
+    got = mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)).toPandas()
+    for _, part in got.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 30 and part.copies.nunique() == 2
+    again = mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).toPandas()
+    assert sorted(got.copies.groupby(got.text).first().items()) == sorted(again.copies.groupby(again.text).first().items())
+
+
 def test_mixing_caps(spark):
     rows = [(i, "w " * n, s) for i, (s, n) in enumerate([("a", 1), ("b", 50), ("c", 1000), (None, 10), ("d", 5)])]
     t = {r["source"]: r for r in mixing.with_copies(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
