@@ -6,9 +6,12 @@ softmax over these gives the window's language probabilities. A text's probabili
 windows' averages, weighted by the bytes that a window really has (the last one is filled up with
 byte 0, whose vector is zero). Every byte of a text is in a window, whatever the text's length.
 
-Training takes at most about ``SAMPLE`` documents of each language (a hash of the id decides), and
-of each a stretch of ``STRETCH`` characters at a hashed place: the only data that reaches the
-driver. The trained weights are some tens of kilobytes. Prediction is one Arrow pass without shuffle.
+Training takes about ``SAMPLE`` documents in all, the same number of each language (a hash of the
+id decides), with all windows of their whole texts: the only data that reaches the driver. A language's
+sampled documents are taken in the order of that hash as long as their texts have at most ``SAMPLE_BYTES``
+together, divided by the number of languages, so that long texts can't exceed the driver. With
+more than ``SAMPLE`` languages some are not learned. The trained weights are some tens of kilobytes, and a row
+for each language. Prediction is one Arrow pass without shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; other texts get a
 learned language, even if very short; rows with a null language or id train nothing; repeated
@@ -20,14 +23,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
 from .samples import fold, per_class
 
 WINDOW, DIMS, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
-SAMPLE, STRETCH, EPOCHS, MIN_SCORE = 500, 384, 8, 0.5
+SAMPLE, SAMPLE_BYTES, EPOCHS, MIN_SCORE = 1000, 8 << 20, 4, 0.5
 POSITIONS = WINDOW - max(WIDTHS) + 1
 
 
@@ -65,6 +68,30 @@ class ByteNet:
             found.append(e / e.sum(1, keepdims=True))
         return np.concatenate(found)
 
+    def gradients(self, windows: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Of the loss (mean cross entropy, weighted by language) for each array, and the loss."""
+        n = len(windows)
+        x = self.patches(windows)
+        response = self.pooled(x, n)
+        best = response.argmax(2)
+        raw = np.take_along_axis(response, best[:, :, None], 2)[:, :, 0].T + self.bias
+        top = np.maximum(raw, 0)
+        logit = top @ self.out.T + self.base
+        p = np.exp(logit - logit.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        loss = float(-(np.log(p[np.arange(n), labels]) * weight[labels]).mean())
+        p[np.arange(n), labels] -= 1
+        p *= weight[labels][:, None] / n
+        d_top = (p @ self.out) * (raw > 0)
+        at = best + np.arange(n) * POSITIONS  # a column of x for each filter and window
+        d_filters = np.stack([x[:, at[f]] @ d_top[:, f] for f in range(len(at))])
+        d_emb = np.zeros_like(self.emb)
+        for o in range(max(WIDTHS)):
+            part = d_top.T[:, :, None] * self.filters[:, None, o * DIMS : (o + 1) * DIMS]
+            np.add.at(d_emb, windows[np.arange(n), best + o].reshape(-1), part.reshape(-1, DIMS))
+        d_emb[0] = 0
+        return {"emb": d_emb, "filters": d_filters * self.mask, "bias": d_top.sum(0), "out": p.T @ top, "base": p.sum(0)}, loss
+
     def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, batch: int = 64, seed: int = 11) -> "ByteNet":
         rng, names, t = np.random.default_rng(seed), ("emb", "filters", "bias", "out", "base"), 0
         first, second = ({k: np.zeros_like(getattr(self, k)) for k in names} for _ in range(2))
@@ -72,26 +99,7 @@ class ByteNet:
         for _ in range(epochs):
             order = rng.permutation(len(windows))
             for rows in (order[i : i + batch] for i in range(0, len(order), batch)):
-                w, y, n = windows[rows], labels[rows], len(rows)
-                x = self.patches(w)
-                response = self.pooled(x, n)
-                best = response.argmax(2)
-                raw = np.take_along_axis(response, best[:, :, None], 2)[:, :, 0].T + self.bias
-                top = np.maximum(raw, 0)
-                logit = top @ self.out.T + self.base
-                p = np.exp(logit - logit.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                p[np.arange(n), y] -= 1
-                p *= weight[y][:, None] / n
-                d_top = (p @ self.out) * (raw > 0)
-                at = best + np.arange(n) * POSITIONS  # a column of x for each filter and window
-                d_filters = np.stack([x[:, at[f]] @ d_top[:, f] for f in range(len(at))])
-                d_emb = np.zeros_like(self.emb)
-                for o in range(max(WIDTHS)):
-                    part = d_top.T[:, :, None] * self.filters[:, None, o * DIMS : (o + 1) * DIMS]
-                    np.add.at(d_emb, w[np.arange(n), best + o].reshape(-1), part.reshape(-1, DIMS))
-                d_emb[0] = 0
-                grads = {"emb": d_emb, "filters": d_filters * self.mask, "bias": d_top.sum(0), "out": p.T @ top, "base": p.sum(0)}
+                grads, _ = self.gradients(windows[rows], labels[rows], weight)
                 t += 1
                 for k in names:
                     g = grads[k]
@@ -113,12 +121,14 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, owner, filled
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", sample: int = SAMPLE) -> ByteNet | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang: str = "lang", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> ByteNet | None:
     """Learns from the rows of docs that have a language; None if there is none."""
     own = F.xxhash64(F.lit("lid"), F.col(id_col))
-    begin = F.pmod(own, F.greatest(F.length(text_col) - STRETCH, F.lit(1))).cast("int") + 1
-    known = docs.filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang).alias("lang"), F.substring(text_col, begin, F.lit(STRETCH)).alias("part"), own.alias("own"))
-    rows = sorted((r["lang"], r["own"], r["part"]) for r in per_class(known, "lang", F.col("own"), sample).collect())
+    known = docs.filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang).alias("lang"), F.col(text_col).alias("text"), own.alias("own"))
+    taken, languages = per_class(known, "lang", F.col("own"), sample)
+    upto = Window.partitionBy("lang").orderBy("own", "text").rowsBetween(Window.unboundedPreceding, 0)  # of sampled rows
+    fits = taken.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).filter(F.col("upto") <= sample_bytes // max(1, languages))
+    rows = sorted((r["lang"], r["own"], r["text"]) for r in fits.collect())
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})

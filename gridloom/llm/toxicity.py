@@ -179,7 +179,7 @@ def _curve(weights: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Grammar:
     """Learns from docs whose id is in labels (id, toxic)."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = F.broadcast(per_class(known, "toxic", F.xxhash64(F.lit("tox"), "__id"), sample))  # about 2 * sample ids
+    chosen = F.broadcast(per_class(known, "toxic", F.xxhash64(F.lit("tox"), "__id"), 2 * sample)[0])  # about 2 * sample ids
     labelled = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, docs[id_col] == chosen["__id"]).select("text", "toxic")
     grammar_now = Grammar(learn_words(labelled))
 

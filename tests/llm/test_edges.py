@@ -29,9 +29,11 @@ def test_media(odd, none):
 
 
 def test_toxicity(odd, none, labels, no_labels):
-    for table in (labels, no_labels):
+    model = toxicity.train(odd, labels)
+    for table, each in ((labels, model.score(0.0)), (no_labels, toxicity.Grammar({}, 0.0, -50.0).score(0.0)), (labels.filter("toxic = 1"), 1.0)):
         rows = toxicity.score(odd, toxicity.train(odd, table)).collect()
         assert len(rows) == 10 and all(0 <= r["score"] <= 1 for r in rows)
+        assert all(abs(r["score"] - each) < 1e-9 for r in rows if r["doc_id"] in (2, 3, 8))  # no words: weight 0
     assert toxicity.score(none, toxicity.train(none, labels)).count() == 0
 
 

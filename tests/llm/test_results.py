@@ -87,6 +87,52 @@ def test_language_reads_whole_texts():
     assert owner.tolist() == [0, 0, 0, 2] and filled.tolist() == [128, 128, 44, 1]
 
 
+def test_convolution_is_plain():
+    """Probabilities from loops over filters, widths and positions."""
+    net, r = language.ByteNet(["a", "b", "c"]), np.random.default_rng(5)
+    windows = r.integers(0, 256, (3, language.WINDOW), dtype=np.uint8)
+    windows[2, 40:] = 0
+    for window, got in zip(windows, net.probabilities(windows)):
+        top = []
+        for f in range(len(net.filters)):
+            width = language.WIDTHS[f // language.FILTERS]
+            own = net.filters[f].reshape(-1, language.DIMS)
+            best = max(sum(float(own[o] @ net.emb[window[i + o]]) for o in range(width)) for i in range(language.POSITIONS))
+            top.append(max(0.0, best + net.bias[f]))
+        e = np.exp(np.array([sum(o * t for o, t in zip(row, top)) for row in net.out]) + net.base)
+        assert np.allclose(got, e / e.sum(), atol=1e-4)
+
+
+def test_gradients_are_slopes_of_the_loss():
+    net, r = language.ByteNet(["a", "b"]), np.random.default_rng(6)
+    for k in ("emb", "filters", "bias", "out", "base"):
+        setattr(net, k, getattr(net, k).astype(np.float64))
+    windows, labels, weight = r.integers(1, 256, (5, language.WINDOW), dtype=np.uint8), np.array([0, 1, 1, 0, 1]), np.array([1.3, 0.8])
+    grads, _ = net.gradients(windows, labels, weight)
+    for k, g in grads.items():
+        values = getattr(net, k)
+        for at in [tuple(p) for p in np.argwhere(np.abs(g) > np.abs(g).max() / 3)[:6]]:
+            kept, step, loss = values[at], 1e-5, []
+            for s in (step, -step):
+                values[at] = kept + s
+                loss.append(net.gradients(windows, labels, weight)[1])
+            values[at] = kept
+            assert abs((loss[0] - loss[1]) / (2 * step) - g[at]) < 1e-5 + 1e-3 * abs(g[at])
+
+
+def test_language_sample_is_bounded(spark):
+    """Whole texts only; a language's sampled texts stay under the bound together, and so does the number of rows."""
+    long = [(i, "ab " * (100_000 if i % 10 == 0 else 10), f"l{i % 4}") for i in range(400)]
+    taken, found = [], language.windows_of
+    try:
+        language.windows_of = lambda texts: taken.append(texts) or found(texts)
+        language.train(spark.createDataFrame(long, "doc_id long, text string, lang string"), sample=80, sample_bytes=40_000)
+        language.train(spark.createDataFrame([(i, "abc", f"l{i}") for i in range(600)], "doc_id long, text string, lang string"), sample=50)
+    finally:
+        language.windows_of = found
+    assert set(map(len, taken[0])) == {30} and len(taken[0]) > 20 and 10 < len(taken[1]) < 120
+
+
 def test_media_round_trip(spark, docs, local):
     text = dict(zip(local.doc_id, local.text))
     for r in queries.QUERIES["op3_media"](spark, SF).collect():
@@ -115,9 +161,11 @@ def test_flac_of_all_kinds():
 
 
 def test_toxicity(spark):
-    got = queries.QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas())
+    got = queries.QUERIES["op4_toxicity"](spark, "/root/testdata/sf0.1").toPandas().merge(spark.read.parquet("/root/testdata/sf0.1/labels.parquet").toPandas())
     held = got[got.held_out]
-    assert (held.predicted == held.toxic).mean() > 0.93 and all(zlib.crc32(str(i).encode()) % 5 == 0 for i in held.doc_id)
+    assert all(zlib.crc32(str(i).encode()) % 5 == 0 for i in held.doc_id)
+    toxic, found = held.toxic == 1, held.predicted == 1
+    assert (found & toxic).sum() / toxic.sum() > 0.85 and (found & toxic).sum() / found.sum() > 0.9 and found[~toxic].mean() < 0.02
 
 
 def test_grammar():
