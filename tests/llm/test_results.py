@@ -254,11 +254,37 @@ def test_quality_model_is_plain(spark):
 
 
 def test_quality_drops_junk_and_keeps_text(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     got = queries.QUERIES["op6_quality"](spark, sf).toPandas().merge(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toPandas())
+    labelled = got.merge(spark.read.parquet(f"{sf}/labels.parquet").filter("quality IS NOT NULL").toPandas())
+    bad, good = labelled[labelled.quality == 0], labelled[labelled.quality == 1]
+    assert bad.keep.mean() < 0.08 and good.keep.mean() > 0.985
     junk = got.text.str.contains(r"!! .*!! |\$\$\$.*&&&| \| .* \| ", regex=True)
-    trusted = got.doc_id.isin(spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").toPandas().doc_id)
-    assert got[junk].keep.mean() < 0.02 and got[trusted].keep.mean() > 0.99
+    repeated = ~junk & got.text.map(lambda t: np.mean([a == b for a, b in zip((t or "").split(), (t or "").split()[1:])] or [0]) > 0.3)
+    plain = ~junk & got.text.map(lambda t: np.mean([a == b for a, b in zip((t or "").split(), (t or "").split()[1:])] or [0]) <= 0.02)
+    assert got[junk].keep.mean() < 0.01 and got[repeated].keep.mean() < 0.3 and got[plain].keep.mean() > 0.98
+
+
+def test_quality_of_rows_without_id_or_language(spark):
+    """Junk goes whatever its id or language; one id's rows, or those without an id, are judged each on its own, in more than one block."""
+    r = random.Random(8)
+    words = ["the", "cat", "sat", "on", "mat", "and", "ran"]
+    text = lambda: " ".join(r.choice(words) for _ in range(40))
+    rows = [(i, text(), "en") for i in range(200)]
+    odd = [(None, text(), "en") for i in range(800)] + [(7777, text(), "en") for i in range(800)] + [(8000 + i, text(), None) for i in range(50)]
+    junk = [(None, "%$ #@! ^&* ~~ " * 20, "en"), (7777, "%$ #@! ^&* ~~ " * 20, "en"), (9000, "%$ #@! ^&* ~~ " * 20, None)]
+    docs = spark.createDataFrame(rows + odd + junk, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    kept = quality.keep_good(docs, labels, block_bytes=20_000).toPandas()
+    assert not kept.text.str.contains("#@!").any() and kept.columns.tolist() == docs.columns
+    assert kept.doc_id.isna().sum() > 700 and (kept.doc_id == 7777).sum() > 700 and kept.lang.isna().sum() > 40
+    texts = docs.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    dealt, hot, blocks = quality._in_blocks(texts, 20_000)
+    sizes = {x["block"]: x["n"] for x in dealt.filter("__id IS NULL OR __id = 7777").groupBy("block").agg(F.count("*").alias("n")).collect()}
+    assert [x[0] for x in hot.collect()] == [7777] and len(sizes) == blocks > 10 and max(sizes.values()) < 3 * 1602 / blocks
+    one = quality.judge(docs, labels, block_bytes=20_000).toPandas()
+    other = quality.judge(docs, labels).toPandas()
+    assert sorted(zip(one.n_bytes, one.perplexity.round(9))) == sorted(zip(other.n_bytes, other.perplexity.round(9)))
 
 
 def test_license_templates(spark):
