@@ -2,20 +2,19 @@
 or more between sets of five-word shingles.
 
 Candidates come from SimHash balls as in ``simhash``, with a radius that fits the likeness: sets of
-likeness 0.8 differ in about 9.7 of 64 bits, give or take 2.9, so RADIUS = 14 reaches some 94 % of
-those at the very limit and more above it (measured recall: README). The bits are split into
-PARTS = 5; of 14 differing bits at most 2 lie in some part, so fingerprints that emit each part
-with at most one bit changed meet there. What meets is compared on all 64 bits, by size (sets of
-likeness 0.8 differ by a factor of 0.8 at most) and on a second fingerprint, where up to SECOND
-bits may differ (about one in a million alike pairs would differ in more). Candidates are then
-verified by the exact likeness of their sets.
+likeness 0.8 differ in about 9.7 of 64 bits, give or take 2.9. The bits are split into PARTS = 4, of which one
+holds at most 2 of the differing bits with a probability of 0.96 at that likeness and more above it; fingerprints
+that emit each part with at most one bit changed then meet there. What meets is compared on all 64 bits
+(RADIUS = 16), by size (sets of likeness 0.8 differ by a factor of 0.8 at most) and on a second fingerprint, where up
+to SECOND bits may differ. Together this finds some 95 % of the pairs at the very limit and more above it
+(README has what was measured). Candidates are then verified by the exact likeness of their sets.
 
 Equal sets are one from the start. A closely linked group isn't expanded into pairs: each set is
 first verified against one candidate of each place; then all candidates that are still in
 different components are. So every candidate pair is verified or already connected.
 
-There are 8192 places a part. A task holds one place; comparisons in places grow with the square
-of the number of distinct sets, rows with their number.
+There are 65536 places a part, 68 rows a set. A task holds one place; comparisons in places grow with the square
+of the number of distinct sets (less than one in a hundred pairs is compared), rows with their number.
 
 A group's keeper is one row, found by a hash of all its columns; only rows that stand more than once
 are shuffled to keep one of them.
@@ -34,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .simhash import ALL, SEED, _signed
+from .simhash import ALL, SEED, _signed, spread
 
-WIDTH, LIKENESS, RADIUS, PARTS, SECOND = 5, 0.8, 14, 5, 24
+WIDTH, LIKENESS, RADIUS, PARTS, SECOND = 5, 0.8, 16, 4, 20
 COMPARED = 1 << 21  # at once
 
 
@@ -135,7 +134,7 @@ def _candidates(sets: DataFrame, likeness: float, across: bool) -> DataFrame:
             yield pairs(*(np.concatenate(c) for c in zip(*held)))
 
     columns = ["meet", "n", "sid", "fp", "fp2", "root"]
-    met = places(sets).repartition("meet").sortWithinPartitions("meet", "n", "sid").select(*columns)
+    met = places(spread(sets, "sid")).repartition("meet").sortWithinPartitions("meet", "n", "sid").select(*columns)
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
