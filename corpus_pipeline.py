@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and
 returns a DataFrame, which is written as Parquet in the shared checkpoint folder and read again
-as the next stage's docs: a stage that fails is repeated from the last files, not from the start.
+as the next stage's docs. A run that failed goes on after its last finished stage if it is given
+its folder again; without one each run has a folder of its own.
+
+Defined results: what the stages' operators define. Rows without text or letters go in the first two
+stages; repeated rows and rows without ids are documents like others, of which dedup keeps one; empty
+tables give an empty result; other columns of documents are carried along up to packing.
 """
 
 from __future__ import annotations
@@ -10,7 +15,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridloom.llm import language, mixing, near, packing, quality
 from gridloom.llm.common import shared_folder, table
@@ -45,11 +49,19 @@ STAGES = [("quality", quality_stage), ("language", language_stage), ("dedup", de
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether Spark has written all of path."""
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """All stages over documents, with their results in ``folder``; what stands finished there is not done again."""
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        if not finished(spark, path):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
