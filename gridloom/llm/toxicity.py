@@ -16,12 +16,13 @@ weight is the composed machine's output along the clause, a text's the sum over
 The insult words, and word beginnings that several of them share, are learned from labelled texts
 and weighted by log-odds. A place (a word after another) counts for one text only, so that copies
 of a labelled text are one witness and what is frequent in a single text is too. The words of
-threats, targets, negations and reports are fixed, and so is the weight of a threat. A logistic curve of two numbers, fitted to the same labels, makes the weight
-a score.
+threats, targets, negations and reports are fixed, and so is the weight of a threat. A logistic
+curve of two numbers, fitted to the same labels, makes the weight a score.
 
 Training takes about ``SAMPLE`` labelled rows of each label (a hash of the id decides); their ids,
-of a size that this bound gives, are broadcast, so that texts are never shuffled. At most
-``WORDS`` words are learned. Scoring is one Arrow pass without shuffle.
+of a size that this bound gives, are broadcast, so that texts are not shuffled for it; the labelled texts
+are written once. Every word and beginning with ``WITNESSES`` toxic texts and odds of ``LEAST_ODDS``
+is learned; the sample bounds their number. Scoring is one Arrow pass without shuffle.
 
 Defined results: null and empty texts, and texts without a match, get the curve's value at weight 0;
 ids that are labelled twice count as toxic if one label says so; null labels and ids teach nothing; without
@@ -39,10 +40,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .samples import fold, per_class
 
-SAMPLE, WORDS, WITNESSES, LEAST_ODDS = 3000, 2000, 5, 12.0
+SAMPLE, WITNESSES, LEAST_ODDS = 3000, 5, 12.0
 STEMS, WORDS_OF_STEM, REMEMBERED = range(3, 9), 3, 500_000
 CLAUSE, WORD = re.compile(r"[.!?;:\n]+"), re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
@@ -147,7 +148,7 @@ def learn_words(labelled: DataFrame) -> dict[str, float]:
     more often."""
     low = F.regexp_replace(F.lower("text"), r"[^\p{L}']+", " ")
     words = F.split(F.trim(low), " ")
-    pairs = F.array_distinct(F.arrays_zip(words.alias("word"), F.concat(F.array(F.lit("")), words).alias("before")))
+    pairs = F.arrays_zip(words.alias("word"), F.concat(F.array(F.lit("")), words).alias("before"))
     placed = labelled.select("toxic", F.xxhash64("text").alias("own"), F.explode(pairs).alias("p")).select("toxic", "own", "p.word", "p.before").filter("word <> ''")
     witnessed = placed.groupBy("toxic", "word", "before").agg(F.min("own").alias("own")).select("toxic", "word", "own").distinct()
     forms = F.array(F.col("word"), *(F.when(F.length("word") >= n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEMS))
@@ -161,7 +162,7 @@ def learn_words(labelled: DataFrame) -> dict[str, float]:
     )
     toxic, clean = (n or 0 for n in labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
     odds = ((F.col("t") + 0.5) / (toxic + 1)) / ((F.col("c") + 0.5) / (clean + 1))
-    found = counts.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.col("odds").desc(), "form").limit(WORDS)
+    found = counts.withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS)
     return {r["form"]: min(HARM, log(r["odds"])) for r in found.collect()}
 
 
@@ -181,6 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.filter(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = F.broadcast(per_class(known, "toxic", F.xxhash64(F.lit("tox"), "__id"), 2 * sample)[0])  # about 2 * sample ids
     labelled = docs.select(id_col, F.col(text_col).alias("text")).join(chosen, docs[id_col] == chosen["__id"]).select("text", "toxic")
+    labelled = cut(labelled)
     grammar_now = Grammar(learn_words(labelled))
 
     def run(batches):
