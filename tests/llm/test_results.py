@@ -288,9 +288,20 @@ def test_quality_of_rows_without_id_or_language(spark):
 
 
 def test_license_templates(spark):
-    texts = ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files", "permission is granted to any person", "Licensed, under: CC-BY-NC 4", "x\nlicensed under\ncc by nc 4 0"]
-    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r["labels"] for r in got] == ["mit", "", "cc-by-nc", ""] and [r["n_base"] for r in got] == [0] * 4 and got[2]["score"] == 6 / 7
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0."
+    scattered = [w for _, t in licenses.TEMPLATES for w in t.split()]
+    cases = [
+        (mit, "mit"), (mit.replace(" documentation", ""), "mit"), ("permission is granted to any person", ""), ("Licensed, under: CC-BY-NC 4.0", "cc-by-nc"), ("x\nlicensed under\ncc by nc 4 0", "cc-by-nc"),
+        (bsd, "bsd"), (mpl, "mpl"), ("w " * 5000 + bsd + " w" * 5000, "bsd"), (" ".join(f"{w} " + "far away from it " * 12 for w in scattered), ""),
+        ("released under the other license", ""), ("Licensed under CC BY 4.0", ""),
+    ]
+    for k in range(40):  # at any place of a window
+        cases += [("w " * k + text + " w" * k, label) for text, label in ((mit, "mit"), (bsd, "bsd"), (mpl, "mpl"))]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got] == [label for _, label in cases] and all(r["n_base"] == 0 for r in got)
+    assert got[1]["score"] == 18 / 19 and [p["label"] for p in got[0]["places"]] == ["mit"]
 
 
 def linked_plainly(prints):
@@ -371,3 +382,36 @@ def test_urls_learn_rules(spark):
         assert r.host == re.split("[/?#]", rest)[0].lower() and r.path == re.split("[?#]", rest[len(r.host) :])[0]
         fit = [x for _, x in url_filter.RULES if (r.host == x.split("/")[0] or r.host.endswith("." + x.split("/")[0])) and r.path.startswith(x[x.index("/") :])]
         assert (r.rule or None) == (max(fit, key=len) if fit else None) if isinstance(r.rule, str) or fit else True
+
+
+def test_url_classifier_is_plain_logistic_regression(spark):
+    """Features and scores against n-grams and Newton steps in numpy."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(3, 8)))
+    rows = [(i, f"http://{word()}.{'bad' if i % 3 else 'good'}{word()}.com/{word()}/{'win' if i % 2 else 'read'}{word()}", i % 3 > 0) for i in range(300)]
+    labelled = spark.createDataFrame([(u, int(y)) for _, u, y in rows[:200]], "url string, label int")
+    urls = spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")
+    made = url_filter.with_features(url_filter.with_parts(urls)).orderBy("page_id").collect()
+    sets = []
+    for row, (_, url, _) in zip(made, rows):
+        host, _, path = url.partition("://")[2].partition("/")
+        grams = {mark + f"<{t}>"[i : i + n] for mark, t in (("h", host), ("p", "/" + path)) for n in url_filter.SIZES for i in range(len(t) + 3 - n)}
+        index = {url_filter.HashingTF(numFeatures=url_filter.FEATURES).indexOf(g) for g in grams} if len(sets) < 5 else set(row["__features"].indices.tolist())
+        assert set(row["__features"].indices.tolist()) == index and len(index) > len(grams) - 4
+        sets.append(sorted(index))
+    used = sorted({i for s in sets for i in s})
+    x = np.array([[1.0] + [float(i in set(s)) for i in used] for s in sets])
+    y, w, keep = np.array([float(v) for *_, v in rows[:200]]), np.zeros(len(used) + 1), np.r_[0, np.full(len(used), 0.01)]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x[:200] @ w))
+        w -= np.linalg.solve((x[:200] * (p * (1 - p))[:, None]).T @ x[:200] / 200 + np.diag(keep + 1e-9), x[:200].T @ (p - y) / 200 + keep * w)
+    want = 1 / (1 + np.exp(-x @ w))
+    got = [s["block_score"] for s in url_filter.judge(urls, labelled, rules=(("block", "nowhere/"),)).orderBy("page_id").collect()]
+    assert np.abs(np.array(got) - want).max() < 0.02 and (want[200:] > 0.5).mean() == np.mean([s > 0.5 for s in got[200:]])
+
+
+def test_url_sample_is_bounded_and_balanced(spark):
+    """A rare label is learned too, and a URL that stands in most rows counts once."""
+    rows = [(i, "http://a.net/same") for i in range(2000)] + [(3000 + i, f"http://b{i}.net/x") for i in range(3000)] + [(9000 + i, f"http://c.org/fr/{i}") for i in range(5)] + [(9999, "http://c.org/fx/9")]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), n_labelled=40).collect()
+    assert {r["verdict"] for r in got if r["rule"] == "org/fr/"} == {"allow"} and [r["block_score"] < 0.5 for r in got if r["page_id"] == 9999] == [True]
