@@ -6,8 +6,8 @@ all subdomains if the path starts with the rule's; of several that fit the longe
 that no rule fits get the classifier's verdict.
 
 The classifier learns from a small labelled table (columns url, label: 1 = block): for the
-registered query, those pages' URLs that a rule decides, at most ``LABELLED`` of them, the first
-by hash. Features are the hashed character n-grams of host and of path, each with a mark of its
+registered query, those pages' URLs that a rule decides, at most ``LABELLED`` of them: half of them for
+each label, from as many ranges of a hash the first of another (one pass, no URL twice). It is written once. Features are the hashed character n-grams of host and of path, each with a mark of its
 own. All is Spark's own JVM code: SQL functions, HashingTF, LogisticRegression. The model is a
 vector of ``FEATURES`` numbers, whatever the input's size; scoring is a projection without shuffle.
 
@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, cut, table
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 SIZES, FEATURES, LABELLED = (3, 4), 1 << 14, 4000
@@ -76,8 +76,10 @@ def judge(urls: DataFrame, labelled: DataFrame | None = None, rules=RULES, url:
     """urls with host, path, rule, verdict and block_score (null where a rule decides)."""
     ruled = with_rules(urls.drop("host", "path", "rule", "verdict", "block_score"), rules, url)
     if labelled is None:
-        known = ruled.filter("rule IS NOT NULL").select("host", "path", (F.col("verdict") == "block").cast("int").alias("label")).distinct().withColumn("__h", F.xxhash64("host", "path"))
-        labelled = known.orderBy("__h", "host", "path").limit(n_labelled).select("host", "path", "label").coalesce(1)
+        known = ruled.filter("rule IS NOT NULL").select("host", "path", (F.col("verdict") == "block").cast("int").alias("label"))
+        ranges = F.pmod(F.xxhash64("host", "path"), F.lit(max(1, n_labelled // 2)))
+        least = F.min(F.struct(F.xxhash64("path", "host"), "host", "path")).alias("first")
+        labelled = cut(known.groupBy("label", ranges.alias("__range")).agg(least).select("first.host", "first.path", "label").coalesce(1))
     else:
         labelled = with_parts(labelled.select("url", "label"))
     model = fit(labelled)
