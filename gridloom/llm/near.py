@@ -5,13 +5,15 @@ Candidates come from SimHash balls as in ``simhash``, with a radius that fits th
 likeness 0.8 differ in about 9.7 of 64 bits, give or take 2.9. The bits are split into PARTS = 4, of which one
 holds at most 2 of the differing bits with a probability of 0.96 at that likeness and more above it; fingerprints
 that emit each part with at most one bit changed then meet there. What meets is compared on all 64 bits
-(RADIUS = 16), by size (sets of likeness 0.8 differ by a factor of 0.8 at most) and on a second fingerprint, where up
-to SECOND bits may differ. Together this finds some 95 % of the pairs at the very limit and more above it
-(README has what was measured). Candidates are then verified by the exact likeness of their sets.
+(RADIUS = 16), by size (sets of likeness 0.8 differ by a factor of 0.8 at most) and on WORDS fingerprints together,
+where up to WIDE bits may differ (0.99 of the pairs at the limit, a seventh of those of likeness 0.6). Together this
+finds some 94 % of the pairs at the very limit and more above it (README has what was measured). Candidates are then
+verified by the exact likeness of their sets.
 
-Equal sets are one from the start. A closely linked group isn't expanded into pairs: each set is
-first verified against one candidate of each place; then all candidates that are still in
-different components are. So every candidate pair is verified or already connected.
+Equal sets are one from the start. A group isn't expanded into pairs: in each round a set is verified against
+its nearest candidate at each of its places, by bits of all fingerprints, that isn't in its component yet; what is alike joins components.
+Rounds end when no pair is new and alike; from the second one on only sets that had a candidate take part. A pair is
+missed if, at all its places, both have nearer candidates that turn out to be less alike.
 
 There are 65536 places a part, 68 rows a set. A task holds one place; comparisons in places grow with the square
 of the number of distinct sets (less than one in a hundred pairs is compared), rows with their number.
@@ -35,8 +37,11 @@ from .common import cut
 from .components import components
 from .simhash import ALL, SEED, _signed, spread
 
-WIDTH, LIKENESS, RADIUS, PARTS, SECOND = 5, 0.8, 16, 4, 20
+WIDTH, LIKENESS, RADIUS, PARTS = 5, 0.8, 16, 4
+WORDS, WIDE = 4, 52  # fingerprints of 64 bits in all, and how many of their bits may differ
+FEW = 1_000_000  # numbers of rows, 8 bytes each, that are broadcast
 COMPARED = 1 << 21  # at once
+PRINTS = ["fp", *(f"fp{k}" for k in range(2, WORDS + 1))]
 
 
 def shingles_of(text: str | None, width: int = WIDTH) -> set[bytes]:
@@ -57,27 +62,32 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def set_of(text: str | None, width: int = WIDTH) -> tuple[int, int, int, int]:
-    """sid, a number of the shingle set; its size; two fingerprints."""
+def set_of(text: str | None, width: int = WIDTH) -> tuple[int, ...]:
+    """sid, a number of the shingle set; its size; WORDS fingerprints."""
     found = shingles_of(text, width)
     if not found:
-        return 0, 0, 0, 0
+        return (0,) * (2 + WORDS)
     h = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
-    again = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED)), len(h), _majority(h), _majority(again ^ (again >> np.uint64(32)))
+    prints, sid = [_majority(h)], _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+    for _ in range(WORDS - 1):  # each from other hashes
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = h ^ (h >> np.uint64(32))
+        prints.append(_majority(h))
+    return sid, len(h), *prints
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs (row, id, text) to row, id, sid, n, fp, fp2."""
+    """docs (row, id, text) to row, id, sid, n, fp, and fp2, fp3 ..."""
     kind = docs.schema["id"].dataType.simpleString()
+    names = ["sid", "n", *PRINTS]
 
     def run(batches):
         for batch in batches:
-            found = np.array([set_of(t.as_py(), width) for t in batch.column(2)], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(4))], ["row", "id", "sid", "n", "fp", "fp2"])
+            found = np.array([set_of(t.as_py(), width) for t in batch.column(2)], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(len(names)))], ["row", "id", *names])
 
-    return docs.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, sid long, n long, fp long, fp2 long")
+    return docs.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, " + ", ".join(f"{c} long" for c in names))
 
 
 def places(sets: DataFrame) -> DataFrame:
@@ -89,33 +99,32 @@ def places(sets: DataFrame) -> DataFrame:
     return sets.select(*own, F.explode(listed).alias("c")).select(F.col("fp").bitwiseAND(F.col("c.keep")).bitwiseXOR(F.col("c.flip")).alias("meet"), *own)
 
 
-def _candidates(sets: DataFrame, likeness: float, across: bool) -> DataFrame:
-    """sets (sid, n, fp, fp2, root) to distinct pairs a, b of one place that may be alike: for each
-    a the first such b, or (across) all with another root."""
+def _candidates(sets: DataFrame, likeness: float) -> DataFrame:
+    """sets (sid, n, fingerprints, root) to distinct pairs a, b that may be alike: for each set and place the nearest
+    other one with another root."""
 
-    def pairs(meet, n, sid, fp, fp2, root):
-        fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
+    def pairs(meet, n, sid, root, *prints):
+        prints = [p.view(np.uint64) for p in prints]
         starts = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
-        left, right = [], []
+        nearest = np.full(len(meet), 1 << 62)  # distance and index
         for s, e in zip(starts.tolist(), np.r_[starts[1:], len(meet)].tolist()):
             at = s + 1
             while at < e:
                 low = s + int(np.searchsorted(n[s:e], likeness * n[at] - 1e-6))
                 to = min(e, at + max(1, COMPARED // (e - low)))
-                i, j = np.nonzero(np.bitwise_count(fp[at:to, None] ^ fp[None, low:to]) <= RADIUS)
+                i, j = np.nonzero(np.bitwise_count(prints[0][at:to, None] ^ prints[0][None, low:to]) <= RADIUS)
                 i, j = i + at, j + low
-                good = (j < i) & (n[j] >= likeness * n[i] - 1e-6) & (np.bitwise_count(fp2[i] ^ fp2[j]) <= SECOND) & (sid[i] != sid[j])
-                if across:
-                    good &= root[i] != root[j]
+                good = (j < i) & (n[j] >= likeness * n[i] - 1e-6) & (root[i] != root[j])
                 i, j = i[good], j[good]
-                if not across:
-                    i, first = np.unique(i, return_index=True)
-                    j = j[first]
-                left.append(np.maximum(sid[i], sid[j]))
-                right.append(np.minimum(sid[i], sid[j]))
+                bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in prints)
+                near = bits <= WIDE
+                i, j, bits = i[near], j[near], bits[near] << 40
+                np.minimum.at(nearest, i, bits | j)
+                np.minimum.at(nearest, j, bits | i)
                 at = to
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        some = np.flatnonzero(nearest < 1 << 62)
+        other = nearest[some] & ((1 << 40) - 1)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(sid[some], sid[other])), pa.array(np.minimum(sid[some], sid[other]))], ["a", "b"])
 
     def run(batches):
         held = []
@@ -133,8 +142,8 @@ def _candidates(sets: DataFrame, likeness: float, across: bool) -> DataFrame:
         if held:
             yield pairs(*(np.concatenate(c) for c in zip(*held)))
 
-    columns = ["meet", "n", "sid", "fp", "fp2", "root"]
-    met = places(spread(sets, "sid")).repartition("meet").sortWithinPartitions("meet", "n", "sid").select(*columns)
+    columns = ["meet", "n", "sid", "root", *PRINTS]
+    met = places(spread(sets.select(*columns[1:]), "sid")).repartition("meet").sortWithinPartitions("meet", "n", "sid").select(*columns)
     return met.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -144,8 +153,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, likeness: float) -
 
     def run(batches):
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
-            good = pa.array([jaccard(s, t, width) >= likeness for s, t in zip(x, y)], pa.bool_())
+            good = pa.array([jaccard(s.as_py(), t.as_py(), width) >= likeness for s, t in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
 
     joined = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
@@ -153,21 +161,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, likeness: float) -
 
 
 def set_roots(sets: DataFrame, docs: DataFrame, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
-    """sets (sid, n, fp, fp2, row: of one text) of docs (row, text) to node, root: the least sid
+    """sets (sid, n, fp, fp2 ..., row: of one text) of docs (row, text) to node, root: the least sid
     reachable, for sets that are alike to others."""
 
     def verified(pairs):
         asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        rows = sets.join(asked, "sid", "left_semi").select("sid", "row")
-        texts = docs.join(rows, "row").groupBy("sid").agg(F.first("text").alias("text"))
-        return _verified(pairs, texts, width, likeness)
-
-    first = cut(_candidates(sets.withColumn("root", F.lit(0).cast("long")), likeness, False))
-    edges = cut(verified(first))
-    roots = components(edges)
-    rooted = sets.join(roots, sets["sid"] == roots["node"], "left").withColumn("root", F.coalesce("root", "sid"))
-    rest = cut(_candidates(rooted, likeness, True).join(first, ["a", "b"], "left_anti"))
-    return components(edges.unionByName(verified(rest)))
+        rows = cut(sets.join(asked, "sid", "left_semi").select("sid", "row"))
+        texts = docs.join(F.broadcast(rows) if rows.count() <= FEW else rows, "row").groupBy("sid").agg(F.first("text").alias("text"))
+        return cut(_verified(pairs, texts, width, likeness))
+
+    left, tried = sets.withColumn("root", F.col("sid")), sets.limit(0).select(F.col("sid").alias("a"), F.col("sid").alias("b"))
+    edges = roots = tried
+    while True:
+        pairs = cut(_candidates(left, likeness).join(tried, ["a", "b"], "left_anti"))
+        alike = verified(pairs)
+        if alike.isEmpty():
+            return roots.toDF("node", "root")
+        edges, tried = edges.unionByName(alike), tried.unionByName(pairs)
+        roots = cut(components(edges))
+        some = tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+        left = cut(sets.join(some, "sid", "left_semi").join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
@@ -178,7 +191,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     prints = cut(shingle_sets(texts, width))
     # nulls last; a row stands for its set and its set's group
     least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("least")
-    sets = cut(prints.groupBy("sid", "n", "fp", "fp2").agg(least).select("sid", "n", "fp", "fp2", "least.row", "least"))
+    sets = cut(prints.groupBy("sid", "n", *PRINTS).agg(least).select("sid", "n", *PRINTS, "least.row", "least"))
     roots = set_roots(sets.drop("least"), texts.select("row", "text"), width, likeness)
     grouped = sets.join(roots, sets["sid"] == roots["node"], "left").groupBy(F.coalesce("root", "sid").alias("root"))
     kept = grouped.agg(F.min("least").alias("least")).select(F.col("least.row").alias("__kept"))
