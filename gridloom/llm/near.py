@@ -124,7 +124,8 @@ def _candidates(sets: DataFrame, likeness: float) -> DataFrame:
                 at = to
         some = np.flatnonzero(nearest < 1 << 62)
         other = nearest[some] & ((1 << 40) - 1)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(sid[some], sid[other])), pa.array(np.minimum(sid[some], sid[other]))], ["a", "b"])
+        found = np.unique(np.stack([np.maximum(sid[some], sid[other]), np.minimum(sid[some], sid[other])]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
 
     def run(batches):
         held = []
