@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,13 @@ CELL = ("run_id", "t", "v", "i", "j")
 
 
 def compare_fields(numeric: DataFrame, reference: DataFrame | Column) -> DataFrame:
-    """Cells with a (numeric) and b (reference). A reference that is an expression of the
+    """Cells with a (numeric) and b (reference), null where one side lacks the cell: such cells are never near or
+    equal, so that a lacking frame fails. Nulls in keys equal nulls. A reference that is an expression of the
     cell's columns needs no join."""
     if isinstance(reference, DataFrame):
-        return numeric.withColumnRenamed("value", "a").join(reference.withColumnRenamed("value", "b"), list(CELL)).select(*CELL, "a", "b")
+        left, right = numeric.select(*CELL, F.col("value").alias("a")), reference.select(*(F.col(c).alias(f"__{c}") for c in CELL), F.col("value").alias("b"))
+        same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"__{c}")) for c in CELL))
+        return left.join(right, same, "full").select(*(F.coalesce(c, f"__{c}").alias(c) for c in CELL), "a", "b")
     return numeric.select(*CELL, F.col("value").alias("a"), reference.alias("b"))
 
 
@@ -45,7 +50,7 @@ def allclose_verdict(compared: DataFrame, rtol: float = 1e-5, atol: float = 1e-8
 
 def exact_verdict(compared: DataFrame) -> DataFrame:
     """A3, per frame."""
-    return compared.groupBy("run_id", "t").agg(F.bool_and((F.col("a") == F.col("b")) & ~F.isnan("a")).alias("ok"))
+    return compared.groupBy("run_id", "t").agg(F.bool_and(F.coalesce((F.col("a") == F.col("b")) & ~F.isnan("a"), F.lit(False))).alias("ok"))
 
 
 def run_verdict(frames: DataFrame, rule: str = "any") -> DataFrame:
@@ -64,7 +69,7 @@ def pick_frames(cells: DataFrame, spec: str = "ends") -> DataFrame:
     last = cells.groupBy(F.col("run_id").alias("__run")).agg((F.max("t") + 1).alias("__n"))
     first = F.lit(0) if spec == "ends" else F.expr("__n div 10")
     wanted = F.array_contains(F.array(first.cast("int"), F.expr("__n div 2").cast("int"), (F.col("__n") - 1).cast("int")), F.col("t").cast("int"))
-    return cells.join(last, cells["run_id"] == last["__run"]).filter(wanted).drop("__run", "__n")
+    return cells.join(last, cells["run_id"].eqNullSafe(last["__run"])).filter(wanted).drop("__run", "__n")
 
 
 def sample_frames(cells: DataFrame, every: int) -> DataFrame:

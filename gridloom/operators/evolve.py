@@ -21,8 +21,18 @@ from .kernels import TileKernel
 SIDES = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 
 
-def _as_grid(data, bs: int) -> np.ndarray:
-    return np.asarray(data, float).reshape(-1, bs, bs)
+AT_ONCE = 32  # tiles whose parts are handed over together
+
+
+def _grids(column: pa.ListArray, *shape: int) -> list[np.ndarray]:
+    """Each row's values, not copied, as an array of that shape; nulls are no numbers."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [flat[a:b].reshape(shape or -1) for a, b in zip(ends, ends[1:])]
+
+
+def _lists(grids: list[np.ndarray]) -> pa.ListArray:
+    sizes = np.cumsum([0, *(g.size for g in grids)])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate([g.reshape(-1) for g in grids])))
 
 
 def exchange(tiles: DataFrame, nx: int, ny: int, bs: int, h: int) -> DataFrame:
@@ -34,19 +44,24 @@ def exchange(tiles: DataFrame, nx: int, ny: int, bs: int, h: int) -> DataFrame:
         raise ValueError(f"a halo of {h} needs more than the nearest tiles of {bs}")
     across, down = nx // bs, ny // bs
 
+    def parts(batch):
+        keys, grids = [c.to_pylist() for c in batch.columns[:4]], _grids(batch.column(4), -1, bs, bs)
+        rows, sent = [[] for _ in range(5)], []
+        for run_id, t, bi, bj, u in zip(*keys, grids):
+            for side, (a, b) in enumerate(SIDES):
+                # what lies at the receiver's side (a, b) is this tile's opposite edge
+                x = slice(bs - h, bs) if a < 0 else slice(0, h) if a > 0 else slice(0, bs)
+                y = slice(bs - h, bs) if b < 0 else slice(0, h) if b > 0 else slice(0, bs)
+                for column, value in zip(rows, (run_id, t, (bi - a) % across, (bj - b) % down, side)):
+                    column.append(value)
+                sent.append(u[:, x, y])
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(rows, kinds)), _lists(sent)], ["run_id", "t", "bi", "bj", "side", "data"])
+
     def run(batches):
         for batch in batches:
-            rows = [[] for _ in range(6)]
-            for run_id, t, bi, bj, data in zip(*(c.to_pylist() for c in batch.columns)):
-                u = _as_grid(data, bs)
-                for side, (a, b) in enumerate(SIDES):
-                    # what lies at the receiver's side (a, b) is this tile's opposite edge
-                    x = slice(bs - h, bs) if a < 0 else slice(0, h) if a > 0 else slice(0, bs)
-                    y = slice(bs - h, bs) if b < 0 else slice(0, h) if b > 0 else slice(0, bs)
-                    for column, value in zip(rows, (run_id, t, (bi - a) % across, (bj - b) % down, side, u[:, x, y].reshape(-1).tolist())):
-                        column.append(value)
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], ["run_id", "t", "bi", "bj", "side", "data"])
+            for first in range(0, batch.num_rows, AT_ONCE):
+                yield parts(batch.slice(first, AT_ONCE))
 
     return tiles.select("run_id", "t", "bi", "bj", "data").mapInArrow(run, "run_id string, t int, bi int, bj int, side int, data array<double>")
 
@@ -57,9 +72,10 @@ def advance(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKernel, ste
     parts = exchange(tiles, nx, ny, bs, h)
 
     def run(key, table):
-        parts_of = {s: d for s, d in zip(table.column("side").to_pylist(), table.column("data").to_pylist())}
+        data = table.column("data").combine_chunks()
+        parts_of = dict(zip(table.column("side").to_pylist(), _grids(data)))
         width = lambda a: bs if a == 0 else h
-        rows = [np.concatenate([np.asarray(parts_of[3 * (a + 1) + b + 1], float).reshape(-1, width(a), width(b)) for b in (-1, 0, 1)], 2) for a in (-1, 0, 1)]
+        rows = [np.concatenate([parts_of[3 * (a + 1) + b + 1].reshape(-1, width(a), width(b)) for b in (-1, 0, 1)], 2) for a in (-1, 0, 1)]
         u = np.concatenate(rows, 1)
         r = kernel.radius
         for _ in range(steps):
@@ -70,7 +86,7 @@ def advance(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKernel, ste
                 current = kernel.fn(stage, current, before, params or {})
             u = current
         run_id, t, bi, bj = (k.as_py() for k in key)
-        return pa.table({"run_id": pa.array([run_id], pa.string()), "t": pa.array([t + steps], pa.int32()), "bi": pa.array([bi], pa.int32()), "bj": pa.array([bj], pa.int32()), "data": pa.array([u.reshape(-1).tolist()], pa.list_(pa.float64()))})
+        return pa.table({"run_id": pa.array([run_id], pa.string()), "t": pa.array([t + steps], pa.int32()), "bi": pa.array([bi], pa.int32()), "bj": pa.array([bj], pa.int32()), "data": _lists([np.asarray(u, float)])})
 
     return parts.groupBy("run_id", "t", "bi", "bj").applyInArrow(run, "run_id string, t int, bi int, bj int, data array<double>")
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import effective_share, lookup, multi_step_frames, standard_frames
+from ..functions.session import cut_lineage
 
 CONFIG = ("size", "block", "share")
 # What a run's configuration has where a field is missing.
@@ -24,9 +25,11 @@ def union_logs(**by_hardware: DataFrame) -> DataFrame:
 
 
 def upsert_log(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """IO4: all entries; of those with equal keys a new one replaces the old one."""
+    """IO4: all entries; of those with equal keys a new one replaces the old one. Of several new ones, or several
+    old ones, the one whose fields have the least hash stays."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    kept = Window.partitionBy(*key).orderBy(F.col("__new").desc())
+    plain = [c for c, kind in both.dtypes if not kind.startswith("map")]
+    kept = Window.partitionBy(*key).orderBy(F.col("__new").desc(), F.xxhash64(*plain), *(F.col(c).isNull() for c in plain))
     return both.withColumn("__n", F.row_number().over(kept)).filter("__n = 1").drop("__n", "__new")
 
 
@@ -102,10 +105,10 @@ def pair_hardware(a: DataFrame, b: DataFrame, key: list[str], metric: str) -> Da
 
 def missing_configs(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Size, block, share of expected ones that were not run (missing) and runs that were not
-    expected (unexpected)."""
-    norm = lambda df: df.select("size", "block", F.round("share", 5).alias("share")).distinct()
-    e, a = norm(expected), norm(actual)
-    return e.join(a, list(CONFIG), "left_anti").withColumn("state", F.lit("missing")).unionByName(a.join(e, list(CONFIG), "left_anti").withColumn("state", F.lit("unexpected")))
+    expected (unexpected). One grouping of both sides; nulls are values like others."""
+    tagged = lambda df, e: df.select("size", "block", F.round("share", 5).alias("share"), F.lit(e).alias("__e"))
+    met = tagged(expected, True).unionByName(tagged(actual, False)).groupBy(*CONFIG).agg(F.bool_or("__e").alias("__some"), F.bool_and("__e").alias("__all"))
+    return met.filter("__some = __all").select(*CONFIG, F.when(F.col("__all"), "missing").otherwise("unexpected").alias("state"))
 
 
 def config_matrix(sizes: DataFrame, modes: DataFrame, blocks: DataFrame, shares: DataFrame) -> DataFrame:
@@ -126,21 +129,28 @@ def speedup_summary(pairs: DataFrame, by: list[str], metric: str) -> DataFrame:
     return pairs.groupBy(*by).agg(F.min(metric).alias("lowest"), F.max(metric).alias("highest"), F.avg(metric).alias("mean"))
 
 
+def _same(left: DataFrame, right: DataFrame, columns) -> tuple[DataFrame, Column]:
+    """right with its key columns renamed, and the condition that they equal left's; nulls equal nulls."""
+    renamed = right.withColumnsRenamed({c: f"__right_{c}" for c in columns})
+    return renamed, reduce(lambda a, b: a & b, (left[c].eqNullSafe(renamed[f"__right_{c}"]) for c in columns), F.lit(True))
+
+
 def best_worst(df: DataFrame, by: list[str], metric: str) -> DataFrame:
     """Rows with the greatest (best) and the least (worst) metric of each group, ties
-    included. Few groups: extremes by partial aggregation, then a join, not a window."""
-    ends = df.groupBy(*by).agg(F.max(metric).alias("__best"), F.min(metric).alias("__worst"))
-    met = df.join(ends, by)
-    best = met.filter(F.col(metric) == F.col("__best")).withColumn("which", F.lit("best"))
-    worst = met.filter(F.col(metric) == F.col("__worst")).withColumn("which", F.lit("worst"))
-    return best.unionByName(worst).drop("__best", "__worst")
+    included; a null in ``by`` is a group. Extremes by partial aggregation, then a join, not a window."""
+    ends, same = _same(df, df.groupBy(*by).agg(F.max(metric).alias("__best"), F.min(metric).alias("__worst")), by)
+    which = F.array_compact(F.array(F.when(F.col(metric) == F.col("__best"), "best"), F.when(F.col(metric) == F.col("__worst"), "worst")))
+    return df.join(ends, same).withColumn("which", F.explode(which)).select(*df.columns, "which")
 
 
 def occurrence_share(df: DataFrame, col: str, targets: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Percent of rows at each target value, 0 for absent ones. targets has the column col."""
+    """Percent of rows at each target value, 0 for absent ones. targets has the column col; a null in ``by`` is a
+    group, a null target counts rows without a value."""
     counts = df.groupBy(*by, col).agg(F.count("*").alias("__n"))
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total")) if by else counts.agg(F.sum("__n").alias("__total"))
-    return totals.crossJoin(targets).join(counts, [*by, col], "left").select(*by, col, (F.lit(100.0) * F.coalesce("__n", F.lit(0)) / F.col("__total")).alias("percent"))
+    asked = totals.crossJoin(targets.select(col))
+    counts, same = _same(asked, counts, [*by, col])
+    return asked.join(counts, same, "left").select(*by, col, (F.lit(100.0) * F.coalesce("__n", F.lit(0)) / F.col("__total")).alias("percent"))
 
 
 def data_limits(df: DataFrame, col: str, n: int) -> DataFrame:
@@ -154,35 +164,42 @@ def linreg(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), F.regr_r2(y, x).alias("r2"))
 
 
-def split_balanced(df: DataFrame, n: int, keys: list[str], order: list[str], larger: str = "first") -> DataFrame:
+def _numbered(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
+    """df with __k, a row's place in its group from 0, and __total, the group's rows. Rows are dealt into ranges by keys and
+    all of order and numbered within each range; counts of ranges give the offsets, so that no task sees a whole group.
+    ``order`` should leave no ties."""
+    ranged = cut_lineage(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))  # as many rows as groups and ranges
+    group = Window.partitionBy(*keys)
+    before = counts.withColumn("__before", F.sum("__n").over(group.orderBy("__part")) - F.col("__n")).withColumn("__total", F.sum("__n").over(group)).drop("__n")
+    placed = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order)) - 1)
+    before, same = _same(placed, before, [*keys, "__part"])
+    return placed.join(before, same).withColumn("__k", F.col("__k") + F.col("__before")).select(*df.columns, "__k", "__total")
+
+
+def _chunk(k: Column, total: Column, n: int) -> Column:
+    """Chunk of place k, where the first chunks are the larger ones."""
+    small, large = F.floor(total / n), total % n
+    first = large * (small + 1)
+    return (F.when(k < first, F.floor(k / (small + 1))).otherwise(large + F.floor((k - first) / F.greatest(small, F.lit(1)))) + 1).cast("int")
+
+
+def split_balanced(df: DataFrame, n: int, keys: list[str], order: list[str], larger: str = "first", parts: int = 64) -> DataFrame:
     """N contiguous chunks of each group's ordered rows; sizes differ by one at most."""
-    forward = Window.partitionBy(*keys).orderBy(*order)
-    if larger == "first":
-        return df.withColumn("chunk", F.ntile(n).over(forward))
-    backward = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in order))
-    return df.withColumn("chunk", n + 1 - F.ntile(n).over(backward))
+    k, total = F.col("__k"), F.col("__total")
+    chunk = _chunk(k, total, n) if larger == "first" else n + 1 - _chunk(total - 1 - k, total, n)
+    return _numbered(df, keys, order, parts).withColumn("chunk", chunk).drop("__k", "__total")
 
 
 def split_balanced_globally(df: DataFrame, n: int, order: list[str], parts: int = 64) -> DataFrame:
-    """W4 without groups: rows are range-partitioned and numbered within each range; counts of the
-    ranges (``parts`` rows) give their offsets, so that no task sees all rows."""
-    ends = df.select(F.percentile_approx(order[0], [k / parts for k in range(1, parts)], 10000)).first()[0] or []
-    place = F.size(F.filter(F.array(*(F.lit(e) for e in sorted(set(ends)))), lambda e: e < F.col(order[0]))) if ends else F.lit(0)
-    ranged = df.withColumn("__part", F.coalesce(place, F.lit(-1)))
-    counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).withColumn("__total", F.sum("__n").over(Window.partitionBy())).drop("__n")
-    numbered = ranged.withColumn("__k", F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).join(before, "__part")
-    k, small, large = F.col("__k") + F.col("__before"), F.floor(F.col("__total") / n), F.col("__total") % n
-    first = large * (small + 1)
-    chunk = F.when(k < first, F.floor(k / (small + 1))).otherwise(large + F.floor((k - first) / F.greatest(small, F.lit(1)))) + 1
-    return numbered.withColumn("chunk", chunk.cast("int")).drop("__part", "__k", "__before", "__total")
+    """W4 without groups."""
+    return split_balanced(df, n, [], order, parts=parts)
 
 
-def share_split(df: DataFrame, share: float, keys: list[str], order: list[str]) -> DataFrame:
+def share_split(df: DataFrame, share: float, keys: list[str], order: list[str], parts: int = 64) -> DataFrame:
     """The first ceil(rows * share) rows of each group go to part A, the rest to B."""
-    rows = F.count("*").over(Window.partitionBy(*keys))
-    cut = F.ceil(rows * share)
-    return df.withColumn("part", F.when(F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= cut, "A").otherwise("B")).withColumn("effective", cut / rows)
+    cut = F.ceil(F.col("__total") * share)
+    return _numbered(df, keys, order, parts).withColumn("part", F.when(F.col("__k") < cut, "A").otherwise("B")).withColumn("effective", cut / F.col("__total")).drop("__k", "__total")
 
 
 def sort_runs(df: DataFrame) -> DataFrame:

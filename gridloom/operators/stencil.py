@@ -84,20 +84,27 @@ def apply_border(cells: DataFrame, nx: int, ny: int, r: int, west: float, east:
 
 
 def line_stencil(df: DataFrame, weights: list[float], keys: list[str], order: str, value: str = "value", wrap: bool = False) -> DataFrame:
-    """Weighted sum over places -r .. r along each line; at the ends missing places give 0
-    change (the value stays), or the line wraps."""
+    """Weighted sum over places -r .. r along each line; where a place is missing, at the ends, the value stays, or the
+    line wraps. A null value makes the sums that it takes part in null."""
     r = len(weights) // 2
-    w = Window.partitionBy(*keys).orderBy(order)
-    whole = Window.partitionBy(*keys)
-    out = df
-    if wrap:
-        line = F.array_sort(F.collect_list(F.struct(order, value)).over(whole))
-        out = df.withColumn("__line", line).withColumn("__n", F.row_number().over(w) - 1)
-        near = [F.element_at("__line", (F.pmod(F.col("__n") + d, F.size("__line")) + 1).cast("int"))[value] for d in range(-r, r + 1)]
-    else:
-        near = [F.col(value) if d == 0 else F.lag(value, -d).over(w) if d < 0 else F.lead(value, d).over(w) for d in range(-r, r + 1)]
-    total = reduce(lambda a, b: a + b, [n * c for n, c in zip(near, weights)])
-    return out.withColumn("result", total if wrap else F.coalesce(total, F.col(value))).drop("__line", "__n")
+    w, line = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys)
+    placed = df.withColumn("__p", F.row_number().over(w) - 1).withColumn("__n", F.count("*").over(line))
+    near = [F.col(value) if d == 0 else F.lag(value, -d).over(w) if d < 0 else F.lead(value, d).over(w) for d in range(-r, r + 1)]
+    if not wrap:
+        total = reduce(lambda a, b: a + b, [n * c for n, c in zip(near, weights)])
+        inside = (F.col("__p") >= r) & (F.col("__p") + r < F.col("__n"))
+        return placed.withColumn("result", F.when(inside, total).otherwise(F.col(value))).drop("__p", "__n")
+    ends = lambda o: F.array(*(F.nth_value(value, k).over(line.orderBy(o).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) for k in range(1, r + 1)))
+    # a line of up to 2 r + 1 places lies wholly within 2 r places of each of them
+    short = F.collect_list(F.struct(F.col(value).alias("x"))).over(w.rowsBetween(-2 * r, 2 * r))
+    out = placed.withColumn("__head", ends(F.col(order).asc())).withColumn("__tail", ends(F.col(order).desc())).withColumn("__short", short)
+    p, n, terms = F.col("__p"), F.col("__n"), []
+    for d, x in zip(range(-r, r + 1), near):
+        at = p + d
+        far = F.when(at < 0, F.try_element_at("__tail", (-at).cast("int"))).when(at >= n, F.try_element_at("__head", (at - n + 1).cast("int"))).otherwise(x)
+        terms.append(F.when(n <= 2 * r, F.try_element_at("__short", (F.pmod(at, n) + 1).cast("int"))["x"]).otherwise(far))
+    total = reduce(lambda a, b: a + b, [x * c for x, c in zip(terms, weights)])
+    return out.withColumn("result", total).drop("__p", "__n", "__head", "__tail", "__short")
 
 
 def _faces(q, p, limit):

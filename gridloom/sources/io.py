@@ -39,9 +39,9 @@ def read_grid(spark: SparkSession, path: str, layout: str = "cells", nx: int | N
 
 
 def write_frames(cells: DataFrame, meta: DataFrame, path: str) -> None:
-    """IO2: frames partitioned by run, files by ranges of t so that large runs spread over tasks;
-    run metadata beside them."""
-    cells.repartitionByRange("run_id", "t").write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/frames")
+    """IO2: frames partitioned by run, files by ranges of t and i, so that large runs and large frames spread over
+    tasks; run metadata beside them."""
+    cells.repartitionByRange("run_id", "t", "i").write.mode("overwrite").partitionBy("run_id").parquet(f"{path}/frames")
     meta.write.mode("overwrite").parquet(f"{path}/meta")
 
 
@@ -76,7 +76,9 @@ def read_run_logs(spark: SparkSession, paths: list[str], layout: str = "json") -
 
 
 def upsert_log_files(spark: SparkSession, old: str, new: DataFrame, out: str) -> None:
-    """IO4 on files: the log at ``old`` with new entries, written to ``out``."""
+    """IO4 on files: the log at ``old`` with new entries, written to ``out``. All fields of both stay; a field has its type
+    in ``new``, else in LOG, else the one that the file shows."""
     from ..operators.runs import upsert_log
 
-    upsert_log(spark.read.schema(new.schema).json(old), new, ["key"]).write.json(out)
+    known = {f.name: f for f in [*spark.read.json(old).schema.fields, *LOG.fields, *new.schema.fields]}
+    upsert_log(spark.read.schema(T.StructType(list(known.values()))).json(old), new, ["key"]).write.json(out)
