@@ -21,10 +21,13 @@ def ascii_lower(text: Column) -> Column:
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share: the session's spark.checkpoint.dir. A
-    temporary one is made only where that is unset (local runs)."""
+    temporary one is made only where that is unset and all runs on one machine; elsewhere that is an error."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 

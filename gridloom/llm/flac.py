@@ -4,7 +4,8 @@ A frame holds 576 samples. Each frame takes the cheapest of: one constant, the s
 are, a fixed predictor of order 0 to 2, or a linear predictor of order 4, the latter two with
 Rice-coded residuals in four partitions. Streams have STREAMINFO (with the MD5 of the samples)
 and a SEEKTABLE with a point for every frame, so that any block can be decoded on its own.
-Decoding checks CRC-8 of every frame header and CRC-16 of every frame. All loops run over bit
+Decoding checks CRC-8 of every frame header, CRC-16 of every frame and each stream's MD5; what doesn't fit is a
+ValueError. All loops run over bit
 fields or sample positions within a frame, each step for all frames.
 """
 
@@ -20,6 +21,8 @@ PART = FRAME // PARTS
 LPC_ORDER, LPC_BITS, LPC_SHIFT = 4, 10, 7
 HEAD = 1 + LPC_ORDER + 2 + LPC_ORDER + 1  # bit fields of a subframe before the residuals
 LAST, RATE = 0x80, 8000
+SHORTEST = 9  # bytes of a frame of one constant
+MD5 = slice(26, 42)  # of STREAMINFO, the first block
 
 
 def _crc_table(poly: int, bits: int) -> np.ndarray:
@@ -190,18 +193,25 @@ def seek_points(media: bytes) -> tuple[int, np.ndarray, np.ndarray]:
         raise ValueError("not a FLAC stream")
     at, last, found, samples = 4, False, [], 0
     while not last:
+        if at + 4 > len(media) or at + 4 + int.from_bytes(media[at + 1 : at + 4], "big") > len(media):
+            raise ValueError("the stream ends within its header")
         kind, size = media[at], int.from_bytes(media[at + 1 : at + 4], "big")
         last, block = kind & LAST, media[at + 4 : at + 4 + size]
         if kind & 127 == 0:
             samples = int.from_bytes(block[10:18], "big") & ((1 << 36) - 1)
         elif kind & 127 == 3:
+            if size % 18:
+                raise ValueError("the seek table has no whole points")
             found.append(np.frombuffer(block, np.dtype([("sample", ">u8"), ("byte", ">u8"), ("count", ">u2")])))
         at += 4 + size
     points = np.concatenate(found) if found else np.zeros(0, [("byte", ">u8")])
     if len(points) * FRAME != samples:
         raise ValueError("the seek table must have a point for every frame")
     start = points["byte"].astype(np.int64) + at
-    return samples, start, np.diff(np.append(start, len(media)))
+    length = np.diff(np.append(start, len(media)))
+    if len(start) == 0 or start[0] != at or (length < SHORTEST).any() or (points["sample"] != np.arange(len(points)) * FRAME).any():
+        raise ValueError("the seek table's points are not the frames' places")
+    return samples, start, length
 
 
 class _Bits:
@@ -326,4 +336,7 @@ def decode(streams: list[bytes], frames_at_once: int = 2048) -> tuple[list[np.nd
     parts = [decode_frames(data, start[i : i + frames_at_once], length[i : i + frames_at_once]) for i in range(0, len(start), frames_at_once)]
     samples, kinds = np.concatenate([p[0] for p in parts]).view(np.uint8) ^ 128, np.concatenate([p[1] for p in parts])
     ends = np.cumsum([0, *(len(p[1]) for p in points)])
+    for stream, a, b in zip(streams, ends, ends[1:]):
+        if stream[MD5] != hashlib.md5((samples[a:b] ^ 128).tobytes()).digest():
+            raise ValueError("a stream's MD5 is wrong")
     return [samples[a:b].reshape(-1) for a, b in zip(ends, ends[1:])], [kinds[a:b] for a, b in zip(ends, ends[1:])]
