@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from .components import components, tasks
 from .simhash import ALL, SEED, _signed, spread
 
 WIDTH, LIKENESS, RADIUS, PARTS = 5, 0.8, 16, 4
@@ -165,23 +165,26 @@ def set_roots(sets: DataFrame, docs: DataFrame, width: int = WIDTH, likeness: fl
     """sets (sid, n, fp, fp2 ..., row: of one text) of docs (row, text) to node, root: the least sid
     reachable, for sets that are alike to others."""
 
-    def verified(pairs):
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        rows = cut(sets.join(asked, "sid", "left_semi").select("sid", "row"))
+    def asked(pairs):
+        return cut(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").coalesce(tasks(pairs.count())))
+
+    def verified(pairs, some):
+        rows = some.select("sid", "row")
         texts = docs.join(F.broadcast(rows) if rows.count() <= FEW else rows, "row").groupBy("sid").agg(F.first("text").alias("text"))
         return cut(_verified(pairs, texts, width, likeness))
 
     left, tried = sets.withColumn("root", F.col("sid")), sets.limit(0).select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    edges = roots = tried
+    edges, roots, near = tried, tried, None
     while True:
         pairs = cut(_candidates(left, likeness).join(tried, ["a", "b"], "left_anti"))
-        alike = verified(pairs)
+        some = asked(pairs)
+        alike = verified(pairs, some)
         if alike.isEmpty():
             return roots.toDF("node", "root")
         edges, tried = edges.unionByName(alike), tried.unionByName(pairs)
         roots = cut(components(edges))
-        some = tried.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-        left = cut(sets.join(some, "sid", "left_semi").join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
+        near = some if near is None else near  # all sets that have a candidate had one in the first round
+        left = cut(near.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
