@@ -114,10 +114,10 @@ SELECT o_orderkey, region, round(p, 9) AS p, round(rho, 9) AS rho, round(u, 9) A
 
 
 def _array_functions(spark, sf_dir):
-    """Embeddings: mirrored, repeated, sliced and wrapped."""
-    e = F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 4)
-    df = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e"))
-    return df.select("vec_id", F.posexplode(F.concat(mirrored(F.col("e")), repeated(F.slice("e", 2, 2), 2))).alias("k", "value"))
+    """Embeddings, whole: mirrored, then all but their ends twice."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    inner = F.slice("e", F.lit(2), F.size("e") - 2)
+    return df.select("vec_id", F.posexplode(F.concat(mirrored(F.col("e")), repeated(inner, 2))).alias("k", "value"))
 
 
 _X = lambda a, b, n, k: f"({float(a)} + {float(b - a)} * {k} / {float(n)})"
@@ -175,5 +175,5 @@ e AS (SELECT dt, abs((sin(1 + dt) - 2 * sin(1.0) + sin(1 - dt)) / (dt * dt) + si
     "frame_pick_late": f"WITH {SERIES}, n AS (SELECT run_id, max(t) + 1 AS n FROM c GROUP BY run_id) SELECT c.* FROM c JOIN n USING (run_id) WHERE t IN (n // 10, n // 2, n - 1)",
     "frame_sample": f"WITH {SERIES} SELECT * FROM c WHERE t % 4 = 0",
     "shock_regions": _shock_sql(),
-    "array_functions": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(12))::INT AS k FROM embeddings) SELECT vec_id, k, e[CASE WHEN k < 4 THEN 4 - k WHEN k < 8 THEN k - 3 ELSE 2 + k % 2 END] AS value FROM e",
+    "array_functions": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e, len(embedding) AS n, unnest(range(4 * len(embedding) - 4))::INT AS k FROM embeddings) SELECT vec_id, k, e[CASE WHEN k < n THEN n - k WHEN k < 2 * n THEN k - n + 1 ELSE 2 + (k - 2 * n) % (n - 2) END] AS value FROM e",
 }
