@@ -10,8 +10,9 @@ where up to WIDE bits may differ (0.99 of the pairs at the limit, a seventh of t
 finds some 94 % of the pairs at the very limit and more above it (README has what was measured). Candidates are then
 verified by the exact likeness of their sets.
 
-Equal sets are one from the start. A group isn't expanded into pairs: in each round a set is verified against
-its nearest candidate at each of its places, by bits of all fingerprints, that isn't in its component yet; what is alike joins components.
+Equal sets are one from the start. A pair counts at one place only, the first where it meets. A group isn't
+expanded into pairs: in each round a set is verified against its nearest candidate at each of its places, by bits of
+all fingerprints, that isn't in its component yet; what is alike joins components.
 Rounds end when no pair is new and alike; from the second one on only sets that had a candidate take part. A pair is
 missed if, at all its places, both have nearer candidates that turn out to be less alike.
 
@@ -35,12 +36,13 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components, tasks
-from .simhash import ALL, SEED, _signed, spread
+from .simhash import SEED, _signed, spread
 
 WIDTH, LIKENESS, RADIUS, PARTS = 5, 0.8, 16, 4
+SIZE = -(-64 // PARTS)  # bits of a part
 WORDS, WIDE = 4, 52  # fingerprints of 64 bits in all, and how many of their bits may differ
 FEW = 1_000_000  # numbers of rows, 8 bytes each, that are broadcast
-COMPARED = 1 << 21  # at once
+COMPARED = 1 << 18  # at once
 PRINTS = ["fp", *(f"fp{k}" for k in range(2, WORDS + 1))]
 
 
@@ -91,17 +93,27 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def places(sets: DataFrame) -> DataFrame:
-    """sets (fp and others) with meet: each part of fp with at most one bit changed."""
-    size = -(-64 // PARTS)
-    changes = [(((1 << size) - 1) << (size * p) & ALL, 1 << b if b >= 0 else 0) for p in range(PARTS) for b in (-1, *range(size * p, min(64, size * p + size)))]
-    listed = F.array(*(F.struct(F.lit(_signed(keep)).cast("long").alias("keep"), F.lit(_signed(flip)).cast("long").alias("flip")) for keep, flip in changes))
+    """sets (fp and others) with meet: each part of fp with at most one bit changed, and above it the part's number."""
+    changes = [(SIZE * p, p << SIZE | (1 << b if b >= 0 else 0)) for p in range(PARTS) for b in (-1, *range(min(SIZE, 64 - SIZE * p)))]
+    listed = F.array(*(F.struct(F.lit(shift).alias("shift"), F.lit(flip).cast("long").alias("flip")) for shift, flip in changes))
     own = sets.columns
-    return sets.select(*own, F.explode(listed).alias("c")).select(F.col("fp").bitwiseAND(F.col("c.keep")).bitwiseXOR(F.col("c.flip")).alias("meet"), *own)
+    return sets.select(*own, F.explode(listed).alias("c")).selectExpr(f"shiftrightunsigned(fp, c.shift) & {(1 << SIZE) - 1}L ^ c.flip AS meet", *own)
+
+
+def _first_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the places where fingerprints x and y both are, the one that stands for the pair; -1 if there is none."""
+    found, mask = np.full(len(x), -1), np.uint64((1 << SIZE) - 1)
+    for p in range(PARTS):
+        a, b = (c >> np.uint64(SIZE * p) & mask for c in (x, y))
+        low = (a ^ b) & ~(a ^ b) + np.uint64(1)  # the lowest differing bit, if any
+        here = np.minimum(a ^ low, b ^ low).astype(np.int64) | p << SIZE
+        found = np.where((found < 0) & (np.bitwise_count(a ^ b) <= 2), here, found)
+    return found
 
 
 def _candidates(sets: DataFrame, likeness: float) -> DataFrame:
     """sets (sid, n, fingerprints, root) to distinct pairs a, b that may be alike: for each set and place the nearest
-    other one with another root."""
+    other one with another root, of the pairs that have no earlier place."""
 
     def pairs(meet, n, sid, root, *prints):
         prints = [p.view(np.uint64) for p in prints]
@@ -116,6 +128,8 @@ def _candidates(sets: DataFrame, likeness: float) -> DataFrame:
                 i, j = i + at, j + low
                 good = (j < i) & (n[j] >= likeness * n[i] - 1e-6) & (root[i] != root[j])
                 i, j = i[good], j[good]
+                good = _first_place(prints[0][i], prints[0][j]) == meet[s]
+                i, j = i[good], j[good]
                 bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in prints)
                 near = bits <= WIDE
                 i, j, bits = i[near], j[near], bits[near] << 40
