@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components, tasks
-from .simhash import SEED, _signed, spread
+from .simhash import ALL, SEED, _signed, spread
 
 WIDTH, LIKENESS, RADIUS, PARTS = 5, 0.8, 16, 4
 SIZE = -(-64 // PARTS)  # bits of a part
@@ -97,12 +97,12 @@ def places(sets: DataFrame) -> DataFrame:
     changes = [(SIZE * p, p << SIZE | (1 << b if b >= 0 else 0)) for p in range(PARTS) for b in (-1, *range(min(SIZE, 64 - SIZE * p)))]
     listed = F.array(*(F.struct(F.lit(shift).alias("shift"), F.lit(flip).cast("long").alias("flip")) for shift, flip in changes))
     own = sets.columns
-    return sets.select(*own, F.explode(listed).alias("c")).selectExpr(f"shiftrightunsigned(fp, c.shift) & {(1 << SIZE) - 1}L ^ c.flip AS meet", *own)
+    return sets.select(*own, F.explode(listed).alias("c")).selectExpr(f"shiftrightunsigned(fp, c.shift) & {ALL >> 64 - SIZE}L ^ c.flip AS meet", *own)
 
 
 def _first_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Of the places where fingerprints x and y both are, the one that stands for the pair; -1 if there is none."""
-    found, mask = np.full(len(x), -1), np.uint64((1 << SIZE) - 1)
+    found, mask = np.full(len(x), -1), np.uint64(ALL >> 64 - SIZE)
     for p in range(PARTS):
         a, b = (c >> np.uint64(SIZE * p) & mask for c in (x, y))
         low = (a ^ b) & ~(a ^ b) + np.uint64(1)  # the lowest differing bit, if any

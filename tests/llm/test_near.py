@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from gridloom.llm import near
 
 
@@ -72,3 +74,16 @@ def test_odd_rows(odd, none):
     kept = near.keep_one(odd)
     assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == ["1", "10", "2", "4", "6", "9", "None"] and kept.columns == odd.columns
     assert near.keep_one(none).count() == 0
+
+
+def test_a_pair_has_one_of_its_places():
+    r = random.Random(7)
+    pairs = [(x, x ^ sum(1 << b for b in r.sample(range(64), r.randrange(16)))) for x in (r.getrandbits(64) for _ in range(2000))]
+    x, y = (np.array(c, np.uint64) for c in zip(*pairs))
+    found = near._first_place(x, y)
+    assert (found == near._first_place(y, x)).all() and (found < 0).any()
+    for a, b, at in zip(x.tolist(), y.tolist(), found.tolist()):
+        parts = lambda v: {p << 16 | (v >> 16 * p & 0xFFFF) ^ f for p in range(4) for f in (0, *(1 << k for k in range(16)))}
+        both = parts(a) & parts(b)
+        assert at in both if both else at == -1
+        assert not both or at >> 16 == min(m >> 16 for m in both)
