@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-CAPACITY, END_ID, REMEMBERED = 4096, 2, 200_000
+CAPACITY, END_ID, REMEMBERED = 4096, 2, 500_000
 UNIT, UNIT_DOCUMENTS = 1 << 22, 1 << 17  # tokens, or documents, that a worker packs at once
 ASCII_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 _words: dict[str, "WordIds"] = {}
