@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import language, licenses, lz, media, mixing, packing, quality, simhash, toxicity, url_filter
+from . import language, licenses, lz, media, merkle, mixing, packing, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op13_merkle": merkle.op13_merkle,
 }
-ORACLES = {"op1_mixing": mixing.ORACLE, "op7_licenses": licenses.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op7_licenses": licenses.ORACLE, "op13_merkle": merkle.ORACLE}
