@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their SQL."""
 
-from . import language, licenses, lz, media, merkle, mixing, packing, periods, quality, simhash, toxicity, url_filter
+from . import language, licenses, lz, media, merkle, mixing, packing, periods, pieces, quality, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_packing": packing.op9_packing,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_pieces": pieces.op11_pieces,
     "op12_periods": periods.op12_periods,
     "op13_merkle": merkle.op13_merkle,
 }
