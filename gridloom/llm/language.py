@@ -8,8 +8,9 @@ byte 0, whose vector is zero). Every byte of a text is in a window, whatever the
 
 Training takes about ``SAMPLE`` documents in all, the same number of each language (a hash of the
 id decides), with all windows of their whole texts: the only data that reaches the driver. A language's
-sampled documents are taken in the order of that hash as long as their texts have at most ``SAMPLE_BYTES``
-together, divided by the number of languages, so that long texts can't exceed the driver. With
+sampled documents are taken in the order of that hash up to ``SAMPLE_BYTES`` together, divided by the number of languages, so
+that long texts can't exceed the driver: those with more than an eighth of that share come after all others, and the last
+one is cut where the share ends, so that no language is lost behind a long text. With
 more than ``SAMPLE`` languages some are not learned. The trained weights are some tens of kilobytes, and a row
 for each language. Prediction is one Arrow pass without shuffle.
 
@@ -126,8 +127,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang:
     own = F.xxhash64(F.lit("lid"), F.col(id_col))
     known = docs.filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang).alias("lang"), F.col(text_col).alias("text"), own.alias("own"))
     taken, languages = per_class(known, "lang", F.col("own"), sample)
-    upto = Window.partitionBy("lang").orderBy("own", "text").rowsBetween(Window.unboundedPreceding, 0)  # of sampled rows
-    fits = taken.withColumn("upto", F.sum(F.octet_length("text")).over(upto)).filter(F.col("upto") <= sample_bytes // max(1, languages))
+    share = sample_bytes // max(1, languages)
+    cut_to = lambda n: F.substring(F.col("text"), F.lit(1), n)  # noqa: E731  characters: a few times the bytes at most
+    sized = taken.withColumn("size", F.octet_length("text")).withColumn("long", F.col("size") > share // 8).withColumn("text", cut_to(F.lit(share)))
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("long", "own", "text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")  # of sampled rows
+    fits = sized.withColumn("left", (share - before).cast("int")).filter("left > 0").select("lang", "own", cut_to(F.col("left")).alias("text"))
     rows = sorted((r["lang"], r["own"], r["text"]) for r in fits.collect())
     if not rows:
         return None

@@ -12,8 +12,8 @@ left in the end, less than one sequence, closes the unit at powers of two (that
 binary), which need no padding. So there is no padding, and a document is only cut if it is longer than the
 capacity, a filler at the end of a free place, or in the unit's last sequence.
 
-Tokens come from a public tokenizer file; ids of white-space separated words are remembered in
-each Python worker (a bounded memory), as this tokenizer never joins across white space. A task
+Tokens come from a public tokenizer file; ids of white-space separated words, and of the parts of words that the tokenizer
+takes one by one, are remembered in each Python worker (a bounded memory), as this tokenizer never joins across either. A task
 holds one unit's ids (some 16 MB, or one document if that is longer).
 
 Defined results: null and empty texts are the closing id alone (one piece of length 1); repeated
@@ -34,12 +34,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 
-CAPACITY, END_ID, REMEMBERED = 4096, 2, 500_000
+CAPACITY, END_ID, REMEMBERED = 4096, 2, 300_000  # words, and as many parts of words
 UNIT, UNIT_DOCUMENTS = 1 << 22, 1 << 17  # tokens, or documents, that a worker packs at once
-ASCII_PART = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# words of printable ASCII and composed Latin letters, which the tokenizer only lower-cases, and the parts that it then takes one by one
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _words: dict[str, "WordIds"] = {}
 
 
+# a byte stands for a character in the tokenizer's pieces: visible Latin-1 ones for themselves, the others for those from 256 on
+HIDDEN = [*range(33), *range(127, 161), 173]
+AS_CHARACTERS = {byte: 256 + k for k, byte in enumerate(HIDDEN)}
+
+
+class PartIds(dict):
+    """Part of a word to its ids as little-endian unsigned 32-bit bytes: words with other marks around them, or capitals, share it."""
+
+    def __init__(self, model):
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[part] = found = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(part.encode().decode("latin-1").translate(AS_CHARACTERS)))
+        return found
+
+
 class WordIds(dict):
     """Word (bytes without ASCII white space) to its ids as little-endian unsigned 32-bit bytes."""
 
@@ -47,17 +67,17 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.parts = PartIds(self.tokenizer.model)
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if text.isascii() and text.isprintable() and "<|" not in text:
-            ids = [t.id for part in ASCII_PART.findall(text.lower()) for t in self.model.tokenize(part)]
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            found = b"".join(map(self.parts.__getitem__, PART.findall(text.lower())))
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = found = np.array(ids, "<u4").tobytes()
+        self[word] = found
         return found
 
 
