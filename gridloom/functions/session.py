@@ -11,13 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder (spark.checkpoint.dir; a temporary folder only
-    where that is unset and all runs on one machine) so that iterations neither replan nor recompute what came before."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share (spark.checkpoint.dir; a temporary folder only where that is unset and all runs
+    on one machine)."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder, so that iterations neither replan nor recompute what came before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -1,6 +1,8 @@
 """Gridded tables: cells and tiles, slices and borders, ghosts and neighbours.
 
-Cells: run_id, t, v, i, j, value. Tiles: run_id, t, bi, bj, data (values by v, then by rows).
+Cells: run_id, t, v, i, j, value. Tiles: run_id, t, bi, bj, ni, nj, data (values by v, then by rows). ni and nj are a tile's
+extents, at most the tile size and less where the grid ends within a tile; nulls in data mark the cells that it lacks (a
+cell without a value is lacking).
 Every operator keys by the run, so that many runs go through together.
 """
 
@@ -28,24 +30,33 @@ def to_cell_layout(df: DataFrame, value: str, t: int = 0, v: int = 0) -> DataFra
 
 
 def check_tiling(nx: int, ny: int, bs: int, variables: int = 1) -> None:
-    if nx % bs or ny % bs:
-        raise ValueError(f"a {nx} x {ny} grid has no whole tiles of {bs}")
+    if min(nx, ny, bs, variables) < 1:
+        raise ValueError(f"no tiles of {bs} in a {nx} x {ny} grid")
     if bs * bs * variables > TILE_LIMIT:
         raise ValueError(f"tiles of {bs} x {bs} x {variables} values are too large for one row")
 
 
 def to_tiles(cells: DataFrame, nx: int, ny: int, bs: int, variables: int = 1) -> DataFrame:
-    """G1: one shuffle by tile; a tile's size is bounded by TILE_LIMIT."""
+    """G1: one shuffle by tile; a tile's size is bounded by TILE_LIMIT. Every value goes to its place, so that lacking cells
+    don't move others. A cell that stands twice, or lies outside of the grid, is an error. Tiles without any cell are lacking themselves."""
     check_tiling(nx, ny, bs, variables)
-    tile = cells.groupBy("run_id", "t", F.expr(f"i div {bs}").cast("int").alias("bi"), F.expr(f"j div {bs}").cast("int").alias("bj"))
-    inside = F.array_sort(F.collect_list(F.struct("v", "i", "j", "value")))
-    return tile.agg(F.transform(inside, lambda c: c["value"]).alias("data"))
+    inside = f"i BETWEEN 0 AND {nx - 1} AND j BETWEEN 0 AND {ny - 1} AND v BETWEEN 0 AND {variables - 1}"
+    wrong = "raise_error(concat_ws(' ', 'no such cell in the grid:', v, i, j))"
+    placed = cells.selectExpr("run_id", "t", f"CAST(CASE WHEN {inside} THEN i ELSE {wrong} END div {bs} AS int) AS bi", f"CAST(j div {bs} AS int) AS bj", "v", "i", "j", "CAST(value AS double) AS value")
+    extents = (f"CAST(least({bs}, {nx} - bi * {bs}) AS int) AS ni", f"CAST(least({bs}, {ny} - bj * {bs}) AS int) AS nj")
+    indexed = placed.selectExpr("*", *extents).selectExpr("run_id", "t", "bi", "bj", "ni", "nj", f"struct((v * ni + i % {bs}) * nj + j % {bs} AS k, value) AS cell")
+    tile = indexed.groupBy("run_id", "t", "bi", "bj", "ni", "nj").agg(F.array_sort(F.collect_list("cell")).alias("__s"))
+    checked = tile.selectExpr("*", f"{variables} * ni * nj AS __n", "aggregate(__s, -1L, (p, e) -> CASE WHEN p = -2 OR e.k = p THEN -2L ELSE CAST(e.k AS bigint) END) = -2 AS __twice")
+    gap = "array_repeat(CAST(NULL AS double), CAST(e.k - CASE WHEN x = 0 THEN -1 ELSE __s[x - 1].k END - 1 AS int))"
+    sparse = f"concat(flatten(transform(__s, (e, x) -> concat({gap}, array(e.value)))), array_repeat(CAST(NULL AS double), CAST(__n - 1 - element_at(__s, -1).k AS int)))"
+    data = f"CASE WHEN __twice THEN raise_error(concat_ws(' ', 'a cell stands twice in tile', bi, bj)) WHEN size(__s) = __n THEN transform(__s, e -> e.value) ELSE {sparse} END"
+    return checked.selectExpr("run_id", "t", "bi", "bj", "ni", "nj", f"{data} AS data")
 
 
 def to_cells(tiles: DataFrame, bs: int) -> DataFrame:
-    """No shuffle."""
-    out = tiles.select("run_id", "t", "bi", "bj", F.posexplode("data").alias("k", "value"))
-    place = {"v": f"k div {bs * bs}", "i": f"bi * {bs} + (k div {bs}) % {bs}", "j": f"bj * {bs} + k % {bs}"}
+    """The cells that tiles have; no shuffle."""
+    out = tiles.select("run_id", "t", "bi", "bj", "ni", "nj", F.posexplode("data").alias("k", "value")).filter("value IS NOT NULL")
+    place = {"v": "k div (ni * nj)", "i": f"bi * {bs} + (k div nj) % ni", "j": f"bj * {bs} + k % nj"}
     return out.select("run_id", "t", *(F.expr(e).cast("int").alias(n) for n, e in place.items()), "value")
 
 

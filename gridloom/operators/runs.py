@@ -99,8 +99,10 @@ def pair_first_runs(df: DataFrame, key: list[str], metrics: list[str], order: li
 
 
 def pair_hardware(a: DataFrame, b: DataFrame, key: list[str], metric: str) -> DataFrame:
-    """Ratio of the metric on two kinds of hardware."""
-    return a.select(*key, F.col(metric).alias("__a")).join(b.select(*key, F.col(metric).alias("__b")), key).select(*key, F.try_divide("__a", "__b").alias("ratio"))
+    """Ratio of the metric on two kinds of hardware; nulls in keys equal nulls."""
+    left = a.select(*key, F.col(metric).alias("__a"))
+    right, same = _same(left, b.select(*key, F.col(metric).alias("__b")), key)
+    return left.join(right, same).select(*key, F.try_divide("__a", "__b").alias("ratio"))
 
 
 def missing_configs(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -164,10 +166,14 @@ def linreg(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(y, x).alias("r"), F.regr_r2(y, x).alias("r2"))
 
 
-def _numbered(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
-    """df with __k, a row's place in its group from 0, and __total, the group's rows. Rows are dealt into ranges by keys and
+ROWS = 200_000  # of a range, numbered by a task
+
+
+def _numbered(df: DataFrame, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
+    """df with __k, a row's place in its group from 0, and __total, the group's rows. Rows are dealt into ranges (by their number) by keys and
     all of order and numbered within each range; counts of ranges give the offsets, so that no task sees a whole group.
     ``order`` should leave no ties."""
+    parts = parts or -(-df.count() // ROWS) or 1
     ranged = cut_lineage(df.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))  # as many rows as groups and ranges
     group = Window.partitionBy(*keys)
@@ -184,19 +190,19 @@ def _chunk(k: Column, total: Column, n: int) -> Column:
     return (F.when(k < first, F.floor(k / (small + 1))).otherwise(large + F.floor((k - first) / F.greatest(small, F.lit(1)))) + 1).cast("int")
 
 
-def split_balanced(df: DataFrame, n: int, keys: list[str], order: list[str], larger: str = "first", parts: int = 64) -> DataFrame:
+def split_balanced(df: DataFrame, n: int, keys: list[str], order: list[str], larger: str = "first", parts: int | None = None) -> DataFrame:
     """N contiguous chunks of each group's ordered rows; sizes differ by one at most."""
     k, total = F.col("__k"), F.col("__total")
     chunk = _chunk(k, total, n) if larger == "first" else n + 1 - _chunk(total - 1 - k, total, n)
     return _numbered(df, keys, order, parts).withColumn("chunk", chunk).drop("__k", "__total")
 
 
-def split_balanced_globally(df: DataFrame, n: int, order: list[str], parts: int = 64) -> DataFrame:
+def split_balanced_globally(df: DataFrame, n: int, order: list[str], parts: int | None = None) -> DataFrame:
     """W4 without groups."""
     return split_balanced(df, n, [], order, parts=parts)
 
 
-def share_split(df: DataFrame, share: float, keys: list[str], order: list[str], parts: int = 64) -> DataFrame:
+def share_split(df: DataFrame, share: float, keys: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """The first ceil(rows * share) rows of each group go to part A, the rest to B."""
     cut = F.ceil(F.col("__total") * share)
     return _numbered(df, keys, order, parts).withColumn("part", F.when(F.col("__k") < cut, "A").otherwise("B")).withColumn("effective", cut / F.col("__total")).drop("__k", "__total")
