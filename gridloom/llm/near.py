@@ -1,22 +1,21 @@
 """Near copies: keeps one document of each group linked by a likeness (Jaccard) of LIKENESS = 0.8
 or more between sets of five-word shingles.
 
-Candidates come from SimHash balls as in ``simhash``, with a radius that fits the likeness: sets of
-likeness 0.8 differ in about 9.7 of 64 bits, give or take 2.9. The bits are split into PARTS = 4, of which one
-holds at most 2 of the differing bits with a probability of 0.96 at that likeness and more above it; fingerprints
-that emit each part with at most one bit changed then meet there. What meets is compared on all 64 bits
-(RADIUS = 16), by size (sets of likeness 0.8 differ by a factor of 0.8 at most) and on WORDS fingerprints together,
-where up to WIDE bits may differ (0.99 of the pairs at the limit, a seventh of those of likeness 0.6). Together this
-finds some 94 % of the pairs at the very limit and more above it (README has what was measured). Candidates are then
-verified by the exact likeness of their sets.
+Candidates come from SimHash balls as in ``simhash``, with a radius that fits the likeness: fingerprints of sets of
+likeness 0.8 differ in about 9.7 of 64 bits, give or take 2.9. Of PARTS = 6 parts of 16 bits, four of one fingerprint and two of another, one
+holds at most 2 of the differing bits with a probability of 0.99 at that likeness and more above it; sets
+that emit each part with at most one bit changed then meet there. What meets is compared by size (sets of likeness 0.8 differ by a
+factor of 0.8 at most), on one fingerprint (RADIUS = 20 of 64 bits) and on WORDS fingerprints together, where up to WIDE bits may
+differ (0.998 of the pairs at the limit). README has what was measured. Candidates are then verified by the exact likeness of their sets.
 
 Equal sets are one from the start. A pair counts at one place only, the first where it meets. A group isn't
-expanded into pairs: in each round a set is verified against its nearest candidate at each of its places, by bits of
-all fingerprints, that isn't in its component yet; what is alike joins components.
-Rounds end when no pair is new and alike; from the second one on only sets that had a candidate take part. A pair is
-missed if, at all its places, both have nearer candidates that turn out to be less alike.
+expanded into pairs: in each round a set takes, at each of its places, the nearest candidates (by bits of all fingerprints) that are in another
+component and haven't been tried yet, one in the first round and four times as many in each next one. Tried pairs stand beside the
+sets at their place. What is alike joins components; rounds end when no candidate is left that hasn't been tried, so that an unlike neighbour keeps no pair
+apart. From the second round on only sets that had a candidate take part. Before texts are read, a pair's likeness is
+estimated from SIGNATURE least hashes, one for each range of hashes; it goes on unless that lies SURE standard deviations below the limit.
 
-There are 65536 places a part, 68 rows a set. A task holds one place; comparisons in places grow with the square
+There are 65536 places a part, 102 rows a set. A task holds one place; comparisons in places grow with the square
 of the number of distinct sets (less than one in a hundred pairs is compared), rows with their number.
 
 A group's keeper is one row, found by a hash of all its columns; only rows that stand more than once
@@ -38,11 +37,12 @@ from .common import cut
 from .components import components, tasks
 from .simhash import ALL, SEED, _signed, spread
 
-WIDTH, LIKENESS, RADIUS, PARTS = 5, 0.8, 16, 4
-SIZE = -(-64 // PARTS)  # bits of a part
-WORDS, WIDE = 4, 52  # fingerprints of 64 bits in all, and how many of their bits may differ
+WIDTH, LIKENESS, RADIUS = 5, 0.8, 20
+SIZE, PARTS = 16, 6  # bits of a part; parts of all fingerprints, 64 // SIZE of each
+WORDS, WIDE = 4, 56  # fingerprints of 64 bits in all, and how many of their bits may differ
 FEW = 1_000_000  # numbers of rows, 8 bytes each, that are broadcast
 COMPARED = 1 << 18  # at once
+SIGNATURE, SURE = 128, 4.5
 PRINTS = ["fp", *(f"fp{k}" for k in range(2, WORDS + 1))]
 
 
@@ -64,82 +64,131 @@ def _majority(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
-def set_of(text: str | None, width: int = WIDTH) -> tuple[int, ...]:
-    """sid, a number of the shingle set; its size; WORDS fingerprints."""
+def signature_of(h: np.ndarray) -> bytes:
+    """Of sorted hashes the least one of each of SIGNATURE ranges, 16 of its bits (not 0, which stands for none)."""
+    out = np.zeros(SIGNATURE, np.uint16)
+    part, first = np.unique(h >> np.uint64(64 - SIGNATURE.bit_length() + 1), return_index=True)
+    out[part.astype(np.int64)] = np.maximum((h[first] >> np.uint64(20)).astype(np.uint16), 1)
+    return out.tobytes()
+
+
+def likely(a: np.ndarray, b: np.ndarray, likeness: float) -> np.ndarray:
+    """Which rows of two arrays of signatures may be alike."""
+    some = (a != 0) | (b != 0)
+    n, same = some.sum(1), ((a == b) & some).sum(1)
+    return same >= likeness * n - SURE * np.sqrt(n * likeness * (1 - likeness))
+
+
+def set_of(text: str | None, width: int = WIDTH) -> tuple:
+    """sid, a number of the shingle set; its size; WORDS fingerprints; its signature."""
     found = shingles_of(text, width)
     if not found:
-        return (0,) * (2 + WORDS)
+        return (0,) * (2 + WORDS) + (bytes(2 * SIGNATURE),)
     h = np.sort(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found)))
+    signature = signature_of(h)
     prints, sid = [_majority(h)], _signed(xxhash.xxh64_intdigest(h.tobytes(), SEED))
     for _ in range(WORDS - 1):  # each from other hashes
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         h = h ^ (h >> np.uint64(32))
         prints.append(_majority(h))
-    return sid, len(h), *prints
+    return sid, len(h), *prints, signature
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs (row, id, text) to row, id, sid, n, fp, and fp2, fp3 ..."""
+    """docs (row, id, text) to row, id, sid, n, fp, and fp2, fp3 ..., signature"""
     kind = docs.schema["id"].dataType.simpleString()
     names = ["sid", "n", *PRINTS]
 
     def run(batches):
         for batch in batches:
-            found = np.array([set_of(t.as_py(), width) for t in batch.column(2)], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(len(names)))], ["row", "id", *names])
+            made = [set_of(t.as_py(), width) for t in batch.column(2)]
+            found = np.array([m[:-1] for m in made], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(len(names))), pa.array([m[-1] for m in made], pa.binary())], ["row", "id", *names, "signature"])
 
-    return docs.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, " + ", ".join(f"{c} long" for c in names))
+    return docs.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, " + ", ".join(f"{c} long" for c in names) + ", signature binary")
 
 
 def places(sets: DataFrame) -> DataFrame:
-    """sets (fp and others) with meet: each part of fp with at most one bit changed, and above it the part's number."""
-    changes = [(SIZE * p, p << SIZE | (1 << b if b >= 0 else 0)) for p in range(PARTS) for b in (-1, *range(min(SIZE, 64 - SIZE * p)))]
-    listed = F.array(*(F.struct(F.lit(shift).alias("shift"), F.lit(flip).cast("long").alias("flip")) for shift, flip in changes))
-    own = sets.columns
-    return sets.select(*own, F.explode(listed).alias("c")).selectExpr(f"shiftrightunsigned(fp, c.shift) & {ALL >> 64 - SIZE}L ^ c.flip AS meet", *own)
-
-
-def _first_place(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of the places where fingerprints x and y both are, the one that stands for the pair; -1 if there is none."""
-    found, mask = np.full(len(x), -1), np.uint64(ALL >> 64 - SIZE)
+    """sets (n, fingerprints and others) with key: each part with at most one bit changed, the part's number above it, and below it n + 1."""
+    own, each = sets.columns, 64 // SIZE
+    part = F.element_at(F.array(*PRINTS[: -(-PARTS // each)]), F.col("c.print"))
+    changes = [(p // each + 1, SIZE * (p % each), p << SIZE | (1 << b if b >= 0 else 0)) for p in range(PARTS) for b in (-1, *range(SIZE))]
+    listed = F.array(*(F.struct(F.lit(k).alias("print"), F.lit(shift).alias("shift"), F.lit(flip).cast("long").alias("flip")) for k, shift, flip in changes))
+    found = sets.select(*own, F.explode(listed).alias("c")).withColumn("part", part)
+    return found.selectExpr(f"shiftleft(shiftrightunsigned(part, c.shift) & {(1 << SIZE) - 1}L ^ c.flip, 32) | (n + 1) AS key", *own)
+
+
+def _first_place(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Of the places where sets with fingerprints x and y both are, the one that stands for the pair; -1 if there is none."""
+    found, mask, each = np.full(len(x[0]), -1), np.uint64((1 << SIZE) - 1), 64 // SIZE
     for p in range(PARTS):
-        a, b = (c >> np.uint64(SIZE * p) & mask for c in (x, y))
+        a, b = (c[p // each] >> np.uint64(SIZE * (p % each)) & mask for c in (x, y))
         low = (a ^ b) & ~(a ^ b) + np.uint64(1)  # the lowest differing bit, if any
         here = np.minimum(a ^ low, b ^ low).astype(np.int64) | p << SIZE
         found = np.where((found < 0) & (np.bitwise_count(a ^ b) <= 2), here, found)
     return found
 
 
-def _candidates(sets: DataFrame, likeness: float) -> DataFrame:
-    """sets (sid, n, fingerprints, root) to distinct pairs a, b that may be alike: for each set and place the nearest
-    other one with another root, of the pairs that have no earlier place."""
-
-    def pairs(meet, n, sid, root, *prints):
+def _nearest(i: np.ndarray, j: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` nearest of i or of j."""
+    source, other, pair = np.r_[i, j], np.r_[j, i], np.r_[np.arange(len(i)), np.arange(len(i))]
+    order = np.lexsort((other, np.r_[bits, bits], source))
+    first = np.r_[True, source[order][1:] != source[order][:-1]][: len(order)]
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    keep = np.zeros(len(i), bool)
+    keep[pair[order[rank < most]]] = True
+    return keep
+
+
+def _candidates(sets: DataFrame, tried: DataFrame | None, most: int, likeness: float) -> DataFrame:
+    """sets (sid, n, fingerprints, root) to pairs meet, a, b that may be alike: for each set and place (meet) the ``most`` nearest
+    others with another root, of the pairs that have no earlier place and aren't in tried (meet, a, b; a > b). Without tried each set is its own root."""
+
+    def met(place, n, sid, root, prints, old):
+        """Pairs of one place's sets, by index."""
+        m, at = len(n), 1
+        order = np.argsort(sid)
+        rank = np.empty(m, np.int64)
+        rank[order] = np.arange(m)
+        old = np.searchsorted(sid[order], old[0]) * m + np.searchsorted(sid[order], old[1]) if len(old[0]) else None
+        found = [np.zeros(0, np.int64)] * 3
+        while at < m:
+            low = int(np.searchsorted(n, likeness * n[at] - 1e-6))
+            to = min(m, at + max(1, COMPARED // (m - low)))
+            i, j = np.nonzero(np.bitwise_count(prints[0][at:to, None] ^ prints[0][None, low:to]) <= RADIUS)
+            i, j = i + at, j + low
+            good = (j < i) & (n[j] >= likeness * n[i] - 1e-6) & (root[i] != root[j])
+            i, j = i[good], j[good]
+            good = _first_place([p[i] for p in prints], [p[j] for p in prints]) == place
+            i, j = i[good], j[good]
+            bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in prints)
+            good = bits <= WIDE
+            if old is not None:
+                good &= ~np.isin(np.maximum(rank[i], rank[j]) * m + np.minimum(rank[i], rank[j]), old)
+            found = [np.concatenate([f, x[good]]) for f, x in zip(found, (i, j, bits))]
+            at = to
+            if len(found[0]) > 4 * COMPARED or at >= m:
+                keep = _nearest(*found, most)
+                found = [f[keep] for f in found]
+        return found[0], found[1]
+
+    def pairs(key, sid, *prints):
+        prints, root = prints[:WORDS], prints[-1] if len(prints) > WORDS else sid
+        meet, n = key >> 32, (key & ((1 << 32) - 1)) - 1
         prints = [p.view(np.uint64) for p in prints]
         starts = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
-        nearest = np.full(len(meet), 1 << 62)  # distance and index
+        places, high, low = [], [], []
         for s, e in zip(starts.tolist(), np.r_[starts[1:], len(meet)].tolist()):
-            at = s + 1
-            while at < e:
-                low = s + int(np.searchsorted(n[s:e], likeness * n[at] - 1e-6))
-                to = min(e, at + max(1, COMPARED // (e - low)))
-                i, j = np.nonzero(np.bitwise_count(prints[0][at:to, None] ^ prints[0][None, low:to]) <= RADIUS)
-                i, j = i + at, j + low
-                good = (j < i) & (n[j] >= likeness * n[i] - 1e-6) & (root[i] != root[j])
-                i, j = i[good], j[good]
-                good = _first_place(prints[0][i], prints[0][j]) == meet[s]
-                i, j = i[good], j[good]
-                bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in prints)
-                near = bits <= WIDE
-                i, j, bits = i[near], j[near], bits[near] << 40
-                np.minimum.at(nearest, i, bits | j)
-                np.minimum.at(nearest, j, bits | i)
-                at = to
-        some = np.flatnonzero(nearest < 1 << 62)
-        other = nearest[some] & ((1 << 40) - 1)
-        found = np.unique(np.stack([np.maximum(sid[some], sid[other]), np.minimum(sid[some], sid[other])]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            t = s + int(np.searchsorted(n[s:e], 0))  # first come the tried pairs
+            if e - t > 1:
+                i, j = met(meet[s], n[t:e], sid[t:e], root[t:e], [p[t:e] for p in prints], (sid[s:t], root[s:t]))
+                a, b = sid[t:e][i], sid[t:e][j]
+                places.append(np.full(len(a), meet[s]))
+                high.append(np.maximum(a, b))
+                low.append(np.minimum(a, b))
+        made = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, high, low)]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["meet", "a", "b"])
 
     def run(batches):
         held = []
@@ -147,8 +196,9 @@ def _candidates(sets: DataFrame, likeness: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             new = [np.asarray(c) for c in batch.columns]
-            done = int(np.searchsorted(new[0], new[0][-1]))  # the last place may go on
-            if held and (done or held[-1][0][-1] != new[0][0]):
+            meet = new[0] >> 32
+            done = int(np.searchsorted(meet, meet[-1]))  # the last place may go on
+            if held and (done or held[-1][0][-1] >> 32 != meet[0]):
                 yield pairs(*(np.concatenate(c) for c in zip(*held, [c[:done] for c in new])))
                 held = []
             elif done:
@@ -157,9 +207,24 @@ def _candidates(sets: DataFrame, likeness: float) -> DataFrame:
         if held:
             yield pairs(*(np.concatenate(c) for c in zip(*held)))
 
-    columns = ["meet", "n", "sid", "root", *PRINTS]
-    met = places(spread(sets.select(*columns[1:]), "sid")).repartition("meet").sortWithinPartitions("meet", "n", "sid").select(*columns)
-    return met.mapInArrow(run, "a long, b long").distinct()
+    columns = ["key", "sid", *PRINTS] + ["root"] * (tried is not None)
+    listed = places(spread(sets.select("n", *columns[1:]), "sid")).select(*columns)
+    if tried is not None:
+        zero = [F.lit(0).cast("long").alias(c) for c in PRINTS]
+        listed = listed.unionByName(tried.select(F.shiftleft("meet", 32).alias("key"), F.col("a").alias("sid"), F.col("b").alias("root"), *zero))
+    return listed.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "sid").select(*columns).mapInArrow(run, "meet long, a long, b long")
+
+
+def _likely(pairs: DataFrame, signatures: DataFrame, likeness: float) -> DataFrame:
+    """The pairs (a, b) whose signatures (sid, signature) don't tell them apart."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(c.to_pylist()), np.uint16).reshape(-1, SIGNATURE) for c in batch.columns[2:])
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(likely(a, b, likeness), pa.bool_()))
+
+    named = lambda c: signatures.select(F.col("sid").alias(c), F.col("signature").alias(f"s_{c}"))
+    return pairs.select("a", "b").join(named("a"), "a").join(named("b"), "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, likeness: float) -> DataFrame:
@@ -176,29 +241,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, likeness: float) -
 
 
 def set_roots(sets: DataFrame, docs: DataFrame, width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
-    """sets (sid, n, fp, fp2 ..., row: of one text) of docs (row, text) to node, root: the least sid
+    """sets (sid, n, fp, fp2 ..., signature, row: of one text) of docs (row, text) to node, root: the least sid
     reachable, for sets that are alike to others."""
 
     def asked(pairs):
-        return cut(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").coalesce(tasks(pairs.count())))
+        return cut(near.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").coalesce(tasks(pairs.count())))
 
-    def verified(pairs, some):
-        rows = some.select("sid", "row")
+    def verified(pairs):
+        rows = asked(pairs).select("sid", "row")
         texts = docs.join(F.broadcast(rows) if rows.count() <= FEW else rows, "row").groupBy("sid").agg(F.first("text").alias("text"))
         return cut(_verified(pairs, texts, width, likeness))
 
-    left, tried = sets.withColumn("root", F.col("sid")), sets.limit(0).select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    edges, roots, near = tried, tried, None
+    left, tried, roots, near, most = sets, None, None, sets, 1
     while True:
-        pairs = cut(_candidates(left, likeness).join(tried, ["a", "b"], "left_anti"))
-        some = asked(pairs)
-        alike = verified(pairs, some)
-        if alike.isEmpty():
-            return roots.toDF("node", "root")
-        edges, tried = edges.unionByName(alike), tried.unionByName(pairs)
-        roots = cut(components(edges))
-        near = some if near is None else near  # all sets that have a candidate had one in the first round
-        left = cut(near.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
+        pairs = cut(_candidates(left, tried, most, likeness))
+        number = pairs.count()
+        if not number:
+            return sets.limit(0).select(F.col("sid").alias("node"), F.col("sid").alias("root")) if roots is None else roots
+        if near is sets:  # all sets that ever have a candidate have one in the first round
+            near = left = asked(pairs)
+            left = left.withColumn("root", F.col("sid"))
+        pairs = pairs.coalesce(tasks(number))
+        alike = verified(cut(_likely(pairs, near, likeness).coalesce(tasks(number))))
+        edges = alike if tried is None else edges.unionByName(alike)
+        tried, most = pairs if tried is None else tried.unionByName(pairs), 4 * most
+        if not alike.isEmpty():
+            roots = cut(components(edges))
+            left = cut(near.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:
@@ -209,7 +278,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     prints = cut(shingle_sets(texts, width))
     # nulls last; a row stands for its set and its set's group
     least = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "row")).alias("least")
-    sets = cut(prints.groupBy("sid", "n", *PRINTS).agg(least).select("sid", "n", *PRINTS, "least.row", "least"))
+    sets = cut(prints.groupBy("sid", "n", *PRINTS).agg(least, F.first("signature").alias("signature")).select("sid", "n", *PRINTS, "signature", "least.row", "least"))
     roots = set_roots(sets.drop("least"), texts.select("row", "text"), width, likeness)
     grouped = sets.join(roots, sets["sid"] == roots["node"], "left").groupBy(F.coalesce("root", "sid").alias("root"))
     kept = grouped.agg(F.min("least").alias("least")).select(F.col("least.row").alias("__kept"))

@@ -17,20 +17,19 @@ The work is laid out so that texts move little and n-grams less:
 3. blocks get the log-probabilities of the n-grams they listed, and add them up for each text.
 
 An n-gram is counted once in each block and joined once in all, however often it stands in texts.
-Nothing of it passes through the driver but the number of blocks and, for each language, discounts,
-mean and threshold; a task holds one block (about ``BLOCK_BYTES``) and its n-grams. Up to
-``LANGUAGES`` languages are modelled, those with most trusted text.
+Nothing of it passes through the driver but the numbers of blocks and languages and the greatest mean and threshold;
+discounts, means and thresholds are tables of a row a language, broadcast if there are few. A task holds one block (about
+``BLOCK_BYTES``) and its n-grams.
 
-Texts without a language are judged by a model of all languages' trusted texts (their counts, summed) with
+Texts without a language, or of a language without trusted text, are judged by a model of all languages' trusted texts (their counts, summed) with
 the greatest mean and threshold of any language, times ``POOLED_MARGIN``. So are the mean and threshold of a language
 with fewer than ``LEAST_HELD_OUT`` trusted texts held out.
 
 Perplexities of short texts scatter: the mean log-probability is drawn towards the language's
 mean as if ``PRIOR`` more bytes of typical text had been seen.
 
-Defined results: null and empty texts have null perplexity and are rejected; texts without a language
-see above; named languages without trusted text, or beyond ``LANGUAGES``, can't be judged and are kept, with null
-perplexity, and so is all if there is no trusted text held out; ids that are labelled twice are trusted only if all labels say so; repeated rows get
+Defined results: null and empty texts have null perplexity and are rejected; texts without a language, or of an untaught one,
+see above; if there is no trusted text, or none held out, nothing can be judged and all other texts are kept, with null perplexity or threshold; ids that are labelled twice are trusted only if all labels say so; repeated rows get
 equal results; an empty table gives an empty result. Other columns are ignored by ``judge`` and carried
 along by ``keep_good``.
 """
@@ -50,8 +49,9 @@ from .common import cut, table
 from .samples import fold
 
 ORDER, BLOCK_BYTES, PRIOR, QUANTILE, MARGIN, HOLD_OUT = 4, 12 << 20, 60, 0.95, 1.08, 5
-LANGUAGES, LEAST_HELD_OUT, POOLED_MARGIN = 500, 10, 1.25
-FEW = 100_000  # ids with more than a block's bytes that are broadcast
+LEAST_HELD_OUT, POOLED_MARGIN = 10, 1.25
+FEW = 100_000  # ids with more than a block's bytes, or languages, that are broadcast
+FEW_MODELS = {1: 5000, 2: 30}  # languages whose models of the lowest orders, some 4 KB a context, are broadcast: 20 and 30 MB
 NO_LANGUAGE = "\u0001"  # stands for null inside
 BEFORE = b"\xff" * (ORDER - 1)  # stands before every text; UTF-8 has no such byte
 
@@ -135,17 +135,22 @@ def _listed(counted: DataFrame) -> DataFrame:
     return counted.mapInArrow(run, "block long, lang string, key long, n long")
 
 
-def _discounts(levels: dict[int, DataFrame]) -> dict[tuple[int, str], list[float]]:
-    """For each order and language what is taken off counts of 1, 2 and more, from the numbers of
-    n-grams seen once to four times: four rows a language reach the driver."""
+def _discounts(levels: dict[int, DataFrame]) -> DataFrame:
+    """order, d_lang, off: for each order and language what is taken off counts of 1, 2 and more, from the numbers of
+    n-grams seen once to four times."""
     every = reduce(DataFrame.unionByName, [c.select(F.lit(order).alias("order"), "lang", "n") for order, c in levels.items()])
-    of = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    found = {}
-    for order, lang, n1, n2, n3, n4 in every.groupBy("order", "lang").agg(*of).collect():
-        y = n1 / (n1 + 2 * n2) if n1 else 0.0
-        off = lambda k, a, b, default: max(0.05, min(k - 0.05, k - (k + 1) * y * b / a)) if a and n1 else default  # noqa: B023, E731
-        found[order, lang] = [off(1, n1, n2, 0.6), off(2, n2, n3, 1.1), off(3, n3, n4, 1.5)]
-    return found
+    seen = every.groupBy("order", F.col("lang").alias("d_lang")).agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+
+    def off(k, default):
+        a, b = F.col(f"n{k}"), F.col(f"n{k + 1}")
+        return F.when((a > 0) & (F.col("n1") > 0), F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * b / a))).otherwise(F.lit(default))
+
+    return cut(seen.select("order", "d_lang", F.array(off(1, 0.6), off(2, 1.1), off(3, 1.5)).alias("off")))
+
+
+def _small(rows: DataFrame, number: int, most: int = FEW) -> DataFrame:
+    return F.broadcast(rows) if number <= most else rows
 
 
 def _low(key: Column, order: int) -> Column:
@@ -160,20 +165,21 @@ def log_probabilities(counts: DataFrame) -> DataFrame:
     for order in range(ORDER - 1, 0, -1):  # continuation counts: different bytes seen before
         levels[order] = levels[order + 1].groupBy("lang", _low(F.col("key"), order).alias("key")).agg(F.count("*").alias("n"))
     discounts = _discounts(levels)
-    languages = sorted({lang for _, lang in discounts})
-    asked = counts.filter(F.col("lang").isin(languages)).select("lang", "key", F.lit(1 / 256).alias("p"))
-    for order in range(1, ORDER + 1) if languages else ():
-        rates = F.create_map(*(x for lang in languages for x in (F.lit(lang), F.array(*map(F.lit, discounts[order, lang])))))
-        off = F.element_at(rates[F.col("lang")], F.least(F.col("n"), F.lit(3)).cast("int"))
+    languages = discounts.filter(F.col("order") == ORDER).count()
+    taught = _small(discounts.filter(F.col("order") == ORDER).select("d_lang"), languages)
+    asked = counts.join(taught, F.col("lang") == F.col("d_lang"), "left_semi").select("lang", "key", F.lit(1 / 256).alias("p"))
+    for order in range(1, ORDER + 1):
         byte = F.col("key").bitwiseAND(F.lit(255).cast("long"))
+        own = _small(discounts.filter(F.col("order") == order).drop("order"), languages)
         # a row for each context: at most 256 bytes follow
         model = (
             levels[order]
-            .withColumn("off", off)
+            .join(own, F.col("lang") == F.col("d_lang"))
+            .withColumn("off", F.element_at("off", F.least(F.col("n"), F.lit(3)).cast("int")))
             .groupBy(F.col("lang").alias("m_lang"), F.shiftright("key", 8).alias("context"))
             .agg(F.sum("n").alias("total"), F.sum("off").alias("offs"), F.map_from_entries(F.collect_list(F.struct(byte, F.col("n") - F.col("off")))).alias("own"))
         )
-        model = F.broadcast(model) if order <= 2 else model  # at most 257 contexts of 256 bytes a language
+        model = _small(model, languages, FEW_MODELS.get(order, -1))
         here = (F.col("lang") == F.col("m_lang")) & (F.shiftright(_low(F.col("key"), order), 8) == F.col("context"))
         share = F.coalesce(F.try_element_at("own", byte), F.lit(0.0)) / F.col("total") + F.col("offs") / F.col("total") * F.col("p")
         asked = asked.join(model, here, "left").select("lang", "key", F.coalesce(share, F.col("p")).alias("p"))
@@ -193,8 +199,9 @@ def _text_sums(packs: DataFrame, chances: DataFrame, id_type: str) -> DataFrame:
         parts = []
         for ids, own, names, texts in _unpacked(left):
             size, total = np.array([len(t) for t in texts], np.int64), np.full(len(texts), np.nan)
-            for lang in set(names) & set(model):
-                rows = np.array([i for i, l in enumerate(names) if l == lang and size[i]], np.int64)
+            judge = [l if l in model else NO_LANGUAGE for l in names]
+            for lang in set(judge) & set(model):
+                rows = np.array([i for i, l in enumerate(judge) if l == lang and size[i]], np.int64)
                 if len(rows):
                     key, n = ngrams([texts[i] for i in rows])
                     known, chance = model[lang]
@@ -215,27 +222,22 @@ def _pooled(counts: DataFrame) -> DataFrame:
     return both.groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
-def _modelled(counts: DataFrame) -> DataFrame:
-    """counts without trusted ones of languages beyond the LANGUAGES with most of them."""
-    most = counts.filter("n > 0").groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
-    return counts.withColumn("n", F.when(F.col("lang").isin([r["lang"] for r in most.collect()]), F.col("n")).otherwise(0))
-
-
-def _constants(found: dict[str, float], other: float | None) -> Column:
-    """A column that looks a language's number up: ``other`` where there is none."""
-    rest = F.lit(other).cast("double")
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in found.items() for x in pair)), F.col("lang")), rest) if found else rest
+def _judged_as(rows: DataFrame, taught: DataFrame) -> DataFrame:
+    """rows (lang, ...) with NO_LANGUAGE for languages that aren't in taught (t_lang)."""
+    return rows.join(taught, F.col("lang") == F.col("t_lang"), "left").withColumn("lang", F.coalesce("t_lang", F.lit(NO_LANGUAGE))).drop("t_lang")
 
 
-def _by_language(trusted: DataFrame, quantile: float, margin: float) -> tuple[Column, Column]:
-    """Mean and threshold, from the held-out trusted texts (lang, n_bytes, logp): a row for each language,
-    LANGUAGES at most, reaches the driver. As constants they need no join, which would bring a language together."""
-    means = {r["lang"]: r["mean"] for r in trusted.groupBy("lang").agg((-F.sum("logp") / F.sum("n_bytes")).alias("mean"), F.count("*").alias("n")).collect() if r["n"] >= LEAST_HELD_OUT}
-    means = means or {r["lang"]: r["mean"] for r in trusted.groupBy("lang").agg((-F.sum("logp") / F.sum("n_bytes")).alias("mean")).collect()}
-    mean = _constants(means, max(means.values(), default=None))
-    known = _drawn(trusted.filter(F.col("lang").isin(list(means))), mean)
-    limits = {r["lang"]: r["limit"] for r in known.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("limit")).collect()}
-    return mean, _constants(limits, max(limits.values()) * POOLED_MARGIN if limits else None)
+def _limits(trusted: DataFrame, quantile: float, margin: float) -> tuple[DataFrame, float | None, float | None]:
+    """From the held-out trusted texts (lang, n_bytes, logp): l_lang, mean, limit of each language with enough of them, and the greatest of both for the others."""
+    stats = cut(trusted.groupBy(F.col("lang").alias("l_lang")).agg((-F.sum("logp") / F.sum("n_bytes")).alias("mean"), F.count("*").alias("texts")))
+    enough = (stats.agg(F.max("texts")).first()[0] or 0) >= LEAST_HELD_OUT
+    known = stats.filter(F.col("texts") >= (LEAST_HELD_OUT if enough else 0))
+    top = known.agg(F.max("mean")).first()[0]
+    languages = known.count()
+    drawn = _drawn(trusted.join(_small(known, languages), F.col("lang") == F.col("l_lang")), F.col("mean"))
+    limits = cut(drawn.groupBy("l_lang").agg(F.first("mean").alias("mean"), (F.percentile_approx("perplexity", quantile, 10000) * margin).alias("limit")))
+    most = limits.agg(F.max("limit")).first()[0]
+    return _small(limits, languages), top, None if most is None else most * POOLED_MARGIN
 
 
 def _drawn(sums: DataFrame, mean: Column) -> DataFrame:
@@ -269,12 +271,17 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     counted = cut(_block_counts(packs, taught))
     listed = _listed(counted)
     summed = cut(listed.groupBy("lang", "key").agg(F.sum("n").alias("n")))
-    chances = cut(log_probabilities(_pooled(_modelled(summed))))
+    taught = cut(summed.filter("n > 0").select(F.col("lang").alias("t_lang")).distinct())
+    taught = _small(taught, taught.count())
+    relabelled = _judged_as(summed, taught).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    chances = cut(log_probabilities(_pooled(relabelled)))
+    listed = _judged_as(listed.select("block", "lang", "key"), taught)
     found = chances.withColumnsRenamed({"lang": "c_lang", "key": "c_key"})
     in_blocks = listed.join(found, (listed["lang"] == found["c_lang"]) & (listed["key"] == found["c_key"])).select("block", "lang", "key", "logp")
     sums = cut(_text_sums(packs, in_blocks, docs.schema["__id"].dataType.simpleString()))
-    mean, limit = _by_language(sums.filter(f"logp IS NOT NULL AND lang <> '{NO_LANGUAGE}'").join(known.filter(held_out), F.col("__id") == F.col("__t"), "left_semi"), quantile, margin)
-    judged = _drawn(sums, mean).withColumn("threshold", F.when(F.col("logp").isNotNull(), limit))
+    limits, top, most = _limits(sums.filter(f"logp IS NOT NULL AND lang <> '{NO_LANGUAGE}'").join(known.filter(held_out), F.col("__id") == F.col("__t"), "left_semi"), quantile, margin)
+    mean, limit = F.coalesce("mean", F.lit(top).cast("double")), F.coalesce("limit", F.lit(most).cast("double"))
+    judged = _drawn(sums.join(limits, F.col("lang") == F.col("l_lang"), "left"), mean).withColumn("threshold", F.when(F.col("logp").isNotNull(), limit)).drop("l_lang", "mean", "limit")
     return judged.withColumn("keep", (F.col("n_bytes") > 0) & (F.col("perplexity").isNull() | (F.col("perplexity") <= F.col("threshold"))))
 
 

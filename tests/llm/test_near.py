@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridloom.llm import near
 
@@ -78,12 +79,80 @@ def test_odd_rows(odd, none):
 
 def test_a_pair_has_one_of_its_places():
     r = random.Random(7)
-    pairs = [(x, x ^ sum(1 << b for b in r.sample(range(64), r.randrange(16)))) for x in (r.getrandbits(64) for _ in range(2000))]
-    x, y = (np.array(c, np.uint64) for c in zip(*pairs))
+    flipped = lambda x: x ^ sum(1 << b for b in r.sample(range(64), r.randrange(20)))
+    pairs = [([a, b], [flipped(a), flipped(b)]) for a, b in ((r.getrandbits(64), r.getrandbits(64)) for _ in range(2000))]
+    x, y = ([np.array([p[side][k] for p in pairs], np.uint64) for k in (0, 1)] for side in (0, 1))
     found = near._first_place(x, y)
-    assert (found == near._first_place(y, x)).all() and (found < 0).any()
-    for a, b, at in zip(x.tolist(), y.tolist(), found.tolist()):
-        parts = lambda v: {p << 16 | (v >> 16 * p & 0xFFFF) ^ f for p in range(4) for f in (0, *(1 << k for k in range(16)))}
-        both = parts(a) & parts(b)
+    assert (found == near._first_place(y, x)).all() and (found < 0).any() and (found >> 16 > 3).any()
+    for (one, two), at in zip(pairs, found.tolist()):
+        parts = lambda v: {p << 16 | (v[p // 4] >> 16 * (p % 4) & 0xFFFF) ^ f for p in range(near.PARTS) for f in (0, *(1 << k for k in range(16)))}
+        both = parts(one) & parts(two)
         assert at in both if both else at == -1
         assert not both or at >> 16 == min(m >> 16 for m in both)
+
+
+def test_places_are_those_of_the_pairs(spark):
+    prints = [near.set_of(" ".join(random.Random(k).choices("abcdefgh", k=50)))[2:6] for k in range(5)]
+    sets = spark.createDataFrame([(k, k + 3, *p) for k, p in enumerate(prints)], "sid long, n long, " + ", ".join(f"{c} long" for c in near.PRINTS))
+    rows = near.places(sets).collect()
+    assert len(rows) == 5 * near.PARTS * 17
+    for r in rows:
+        place = r["key"] >> 32
+        part = prints[r["sid"]][place >> 16 >> 2] >> 16 * ((place >> 16) % 4) & 0xFFFF
+        assert (part ^ place & 0xFFFF).bit_count() <= 1 and r["key"] & 0xFFFFFFFF == r["sid"] + 4
+
+
+def edited(words, like, word, r):
+    base, words = " ".join(words), list(words)
+    while near.jaccard(base, " ".join(words)) > like:
+        words[r.randrange(len(words))] = word()
+    return words
+
+
+def test_unlike_neighbours_keep_no_pair_apart(spark):
+    """Families of texts that are about half alike, so that a text's nearest candidates are none of its own; every other one has a copy near the limit."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    texts, copies = [], []
+    for _ in range(8):
+        base = [word() for _ in range(200)]
+        for k in range(20):
+            own = edited(base, 0.715, word, r)
+            texts.append(" ".join(own))
+            if k % 2:
+                copies.append(len(texts))
+                texts.append(" ".join(edited(own, 0.83, word, r)))
+    like = [near.jaccard(texts[c], texts[c - 1]) >= 0.8 for c in copies]
+    kept = {x["doc_id"] for x in near.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = [c not in kept for c in copies]
+    assert sum(like) > 60 and sum(f for f, y in zip(found, like) if y) >= sum(like) - 1
+    assert len(texts) - len(kept) == sum(found)
+
+
+def test_tried_pairs_come_no_more(spark):
+    """All pairs of one place, some at a time, each once."""
+    r = random.Random(3)
+    fp = [r.getrandbits(62) for _ in range(4)]
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(16, 60), n))
+    rows = [(k, 100, *(flip(f, 3) for f in fp)) for k in range(12)]
+    sets = spark.createDataFrame(rows, "sid long, n long, " + ", ".join(f"{c} long" for c in near.PRINTS))
+    rooted, tried, seen, most = sets.withColumn("root", F.col("sid")), None, set(), 1
+    for _ in range(6):
+        pairs = near._candidates(sets if tried is None else rooted, tried, most, 0.8).collect()
+        assert not seen & {(x["a"], x["b"]) for x in pairs} and len(pairs) == len({(x["a"], x["b"]) for x in pairs})
+        seen |= {(x["a"], x["b"]) for x in pairs}
+        new = spark.createDataFrame([tuple(x) for x in pairs], "meet long, a long, b long")
+        tried, most = new if tried is None else tried.unionByName(new), 4 * most
+    assert not pairs and seen == {(a, b) for a in range(12) for b in range(a)}
+
+
+def test_signatures_estimate_likeness():
+    rng = np.random.default_rng(2)
+    for like in (0.5, 0.8, 0.95):
+        both, own = int(400 * like), int(400 * (1 - like)) // 2
+        rows = []
+        for _ in range(300):
+            h = rng.integers(0, 1 << 63, both + 2 * own, dtype=np.uint64) * np.uint64(2)
+            rows.append([np.frombuffer(near.signature_of(np.sort(np.r_[h[:both], x])), np.uint16) for x in (h[both : both + own], h[both + own :])])
+        kept = near.likely(np.array([a for a, _ in rows]), np.array([b for _, b in rows]), 0.8)
+        assert kept.mean() == 1 if like >= 0.8 else kept.mean() < 0.05

@@ -301,6 +301,34 @@ def test_quality_of_rows_without_id_or_language(spark):
     assert sorted(zip(one.n_bytes, one.perplexity.round(9))) == sorted(zip(other.n_bytes, other.perplexity.round(9)))
 
 
+def test_quality_of_many_and_untaught_languages(spark):
+    """Hundreds of languages are modelled each; junk goes in a language without trusted text too, and its plain text stays."""
+    r = random.Random(6)
+    words = ["the", "cat", "sat", "on", "mat", "and", "ran"]
+    text = lambda: " ".join(r.choice(words) for _ in range(30))
+    rows = [(k, text(), f"l{k % 600}") for k in range(2400)] + [(5000 + k, text(), "sv") for k in range(30)]
+    junk = [(6000, "%$ #@! ^&* ~~ " * 20, "sv"), (6001, "%$ #@! ^&* ~~ " * 20, "l599"), (6002, "%$ #@! ^&* ~~ " * 20, None)]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    got = {x["doc_id"]: x for x in quality.judge(docs, spark.createDataFrame([(k, 1) for k in range(2400)], "doc_id long, quality int")).collect()}
+    assert not any(got[k]["keep"] for k in (6000, 6001, 6002)) and all(got[k]["perplexity"] for k in got)
+    assert sum(got[5000 + k]["keep"] for k in range(30)) > 25 and sum(got[k]["keep"] for k in range(2400)) > 2200
+    assert {x["lang"] for x in got.values()} >= {"l599", "sv", None}
+
+
+def test_no_language_is_lost_behind_a_long_text(spark):
+    words = {"en": ["the", "cat", "sat", "on"], "de": ["der", "hund", "und", "ich"], "xx": ["qq", "zz", "ww", "vv"]}
+    r = random.Random(2)
+    rows = [(k, lang, " ".join(r.choices(words[lang], k=40))) for lang in ("en", "de") for k in range(100 * (lang == "de"), 100 * (lang == "de") + 60)]
+    own = lambda df: df.select("doc_id", F.xxhash64(F.lit("lid"), F.col("doc_id")).alias("h"))
+    first = min(own(spark.createDataFrame(rows, "doc_id long, lang string, text string").filter("lang = 'de'")).collect(), key=lambda x: x["h"])["doc_id"]
+    long = " ".join(words["de"]) * 20000
+    rows = [(k, lang, long if k == first else text) for k, lang, text in rows] + [(900, "xx", "qq zz ww vv " * 20000)]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"), sample_bytes=60_000)
+    assert net.languages == ["de", "en", "xx"]
+    asked = spark.createDataFrame([(1, "the cat sat on the cat and sat"), (2, "und ich der hund und der hund")], "doc_id long, text string")
+    assert [x["lang_pred"] for x in language.predict(asked, net).orderBy("doc_id").collect()] == ["en", "de"]
+
+
 def test_license_templates(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
