@@ -113,9 +113,17 @@ def missing_configs(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return met.filter("__some = __all").select(*CONFIG, F.when(F.col("__all"), "missing").otherwise("unexpected").alias("state"))
 
 
-def config_matrix(sizes: DataFrame, modes: DataFrame, blocks: DataFrame, shares: DataFrame) -> DataFrame:
-    """All combinations, with the effective share, each once. The inputs are short lists."""
-    every = sizes.crossJoin(modes).crossJoin(blocks).crossJoin(shares)
+MOST = 10_000_000  # configurations
+FEW = 100_000  # groups or targets that are broadcast
+
+
+def config_matrix(sizes: DataFrame, modes: DataFrame, blocks: DataFrame, shares: DataFrame, most: int = MOST) -> DataFrame:
+    """All combinations, with the effective share, each once. The inputs are short lists: more than ``most`` combinations are an error."""
+    lists = [cut_lineage(df) for df in (sizes, modes, blocks, shares)]
+    number = reduce(lambda n, df: n * df.count(), lists, 1)
+    if number > most:
+        raise ValueError(f"{number} configurations are more than {most}")
+    every = reduce(DataFrame.crossJoin, lists)
     return every.withColumn("share", effective_share(F.col("share"), F.col("size"), F.col("block"))).distinct()
 
 
@@ -140,17 +148,22 @@ def _same(left: DataFrame, right: DataFrame, columns) -> tuple[DataFrame, Column
 def best_worst(df: DataFrame, by: list[str], metric: str) -> DataFrame:
     """Rows with the greatest (best) and the least (worst) metric of each group, ties
     included; a null in ``by`` is a group. Extremes by partial aggregation, then a join, not a window."""
-    ends, same = _same(df, df.groupBy(*by).agg(F.max(metric).alias("__best"), F.min(metric).alias("__worst")), by)
+    df = cut_lineage(df)  # read twice
+    ends = cut_lineage(df.groupBy(*by).agg(F.max(metric).alias("__best"), F.min(metric).alias("__worst")))
+    ends, same = _same(df, F.broadcast(ends) if ends.limit(FEW + 1).count() <= FEW else ends, by)
     which = F.array_compact(F.array(F.when(F.col(metric) == F.col("__best"), "best"), F.when(F.col(metric) == F.col("__worst"), "worst")))
     return df.join(ends, same).withColumn("which", F.explode(which)).select(*df.columns, "which")
 
 
 def occurrence_share(df: DataFrame, col: str, targets: DataFrame, by: list[str] = ()) -> DataFrame:
     """Percent of rows at each target value, 0 for absent ones. targets has the column col; a null in ``by`` is a
-    group, a null target counts rows without a value."""
+    group, a null target counts rows without a value. There is a row for each group and target: targets are a list of FEW at most, else that is an error."""
+    targets = cut_lineage(targets.select(col))
+    if targets.limit(FEW + 1).count() > FEW:
+        raise ValueError(f"more than {FEW} targets")
     counts = df.groupBy(*by, col).agg(F.count("*").alias("__n"))
     totals = counts.groupBy(*by).agg(F.sum("__n").alias("__total")) if by else counts.agg(F.sum("__n").alias("__total"))
-    asked = totals.crossJoin(targets.select(col))
+    asked = totals.crossJoin(F.broadcast(targets))
     counts, same = _same(asked, counts, [*by, col])
     return asked.join(counts, same, "left").select(*by, col, (F.lit(100.0) * F.coalesce("__n", F.lit(0)) / F.col("__total")).alias("percent"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder, table
 from ..operators import compare, evolve, grid, intervals, kernels, runs, stencil
-from ..sources import io
+from ..sources import arrays, io
 from .field_queries import _exact
 from .grid_queries import DIFF, MEAN, NX, NY, RASTER, TAGS, _step_sql, base, steps_sql
 from .run_queries import KEY, LOG, log
@@ -143,6 +143,17 @@ def _arrays(spark, sf_dir):
     return io.read_grid(spark, path, "array", NX, NY)
 
 
+def _sink(spark, sf_dir):
+    """Tiles of two frames written by the array sink, the second one twice; it alone is read."""
+    arrays.register(spark)
+    path = _folder(spark)
+    tiles = _tiles_of(base(spark, sf_dir))
+    later = evolve.evolve(tiles, NX, NY, SMALL, kernels.ADD, 1).select("run_id", "t", "bi", "bj", "ni", "nj", "data")
+    for frames in (tiles, later, later):
+        frames.write.format("grid_frames").option("path", path).mode("append").save()
+    return grid.to_cells(spark.read.format("grid_frames").option("path", path).load().filter("t = 1"), SMALL)
+
+
 def _orders_log(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.select(F.concat(F.date_format("o_orderdate", "MM/dd/yyyy-HH:mm:ss"), F.lit("."), F.col("o_orderkey")).alias("key"), F.col("o_totalprice").alias("runtime"), (F.col("o_custkey") % 32 + 8).cast("int").alias("blocksize"), (F.col("o_custkey") % 2 == 0).alias("swept"), F.col("o_orderkey").alias("n"))
@@ -217,6 +228,7 @@ QUERIES = {
     "interval_classes": _intervals,
     "frames_written": _written,
     "grid_arrays_read": _arrays,
+    "frames_sink": _sink,
     "logs_yaml": _yaml,
     "logs_json": _json,
     "log_merged": _merged,
@@ -240,6 +252,7 @@ ORACLES = {
 SELECT c_custkey, c_nationkey AS nation, c_acctbal AS x, b.low, b.high, b.supplier FROM customer LEFT JOIN b ON b.nation = c_nationkey AND c_acctbal >= b.low AND (b.high IS NULL OR c_acctbal < b.high)""",
     "frames_written": f"WITH {RASTER}, c AS (SELECT {TAGS.format(t=0)} FROM cells0) SELECT *, {SMALL}::INT AS blocksize FROM c WHERE i BETWEEN 5 AND 12 AND j BETWEEN 3 AND 9",
     "grid_arrays_read": f"WITH {RASTER} SELECT {TAGS.format(t=0)} FROM cells0",
+    "frames_sink": f"WITH {RASTER} SELECT run_id, 1::INT AS t, 0::INT AS v, i, j, value + 1 AS value FROM cells0",
     "logs_yaml": f"WITH {_LOGGED} SELECT key, round(runtime, 2) AS runtime, swept, CASE WHEN n % 3 <> 0 THEN blocksize END AS blocksize, CASE WHEN n % 3 <> 0 THEN blocksize END AS size FROM o",
     "logs_json": f"WITH {_LOGGED} SELECT key, runtime, swept, blocksize, true AS named FROM o",
     "log_merged": f"WITH {_LOGGED} SELECT key, CASE WHEN blocksize = 9 THEN -runtime ELSE runtime END AS runtime, blocksize, n FROM o WHERE n % 2 = 0 OR blocksize = 9",
