@@ -26,6 +26,7 @@ from .kernels import TileKernel
 SIDES = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
 AT_ONCE = 32  # tiles whose parts are handed over together
 TILES = "run_id string, t int, bi int, bj int, ni int, nj int, data array<double>"
+BODIES = "run_id string, t int, bi int, bj int, ni int, nj int, body binary"
 PARTS = "run_id string, t int, bi int, bj int, side int, x int, y int, dx int, dy int, data array<double>"
 
 
@@ -41,6 +42,39 @@ def _lists(grids: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, from_pandas=True))
 
 
+def _packed(width: int | None = None):
+    """Tiles with their body as bytes, and their edges if a width is given."""
+
+    def run(batches):
+        for batch in batches:
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                shapes = zip(part.column(4).to_pylist(), part.column(5).to_pylist())
+                grids = [g.reshape(-1, ni, nj) for g, (ni, nj) in zip(_grids(part.column(6)), shapes)]
+                made = {"body": pa.array([np.ascontiguousarray(g).tobytes() for g in grids], pa.binary())}
+                if width:
+                    made["edges"] = pa.array([_bands(g, width) for g in grids], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:6], *made.values()], ["run_id", "t", "bi", "bj", "ni", "nj", *made])
+
+    return run
+
+
+def _pack(tiles: DataFrame) -> DataFrame:
+    return tiles.select("run_id", "t", "bi", "bj", "ni", "nj", "data").mapInArrow(_packed(), BODIES)
+
+
+def _listed(batches):
+    """The last column's bytes as values."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(first, AT_ONCE)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists([np.frombuffer(b.as_py()) for b in part.columns[-1]])], [*part.schema.names[:-1], "data"])
+
+
+def _unpack(state: DataFrame) -> DataFrame:
+    return state.mapInArrow(_listed, TILES)
+
+
 def reach(tile: int, n: int, bs: int, h: int) -> list[tuple[int, int, int, int, bool]]:
     """Along an axis of n cells: which tiles need cells of this one, themselves or within h of them, around the ends too: the
     target, where the cells lie from the beginning of its halo, where in this tile, how many, and whether they are the tile itself."""
@@ -66,33 +100,37 @@ def _side(at: int, length: int, extent: int, h: int) -> int:
     return -1 if at + length <= h else 1 if at >= h + extent else 0
 
 
-def exchange(tiles: DataFrame, nx: int, ny: int, bs: int, h: int) -> DataFrame:
-    """For each tile the parts that it and its neighbours send: run_id, t, bi, bj, side (where the part lies, 0 .. 8 with 4 the
-    tile itself), x, y (its place from the beginning of the halo), dx, dy (its extents), data. In small grids one neighbour sends several parts;
-    where the last tiles are narrower than h, several neighbours send parts to one side."""
+def _exchanged(tiles: DataFrame, nx: int, ny: int, bs: int, h: int) -> DataFrame:
+    """Tiles with their body as bytes to parts as ``exchange`` gives them, with data as bytes."""
     check_halo(nx, ny, bs, h)
     extent = lambda tile, n: min(bs, n - tile * bs)
+    names = ["run_id", "t", "bi", "bj", "side", "x", "y", "dx", "dy", "data"]
 
     def parts(batch):
-        keys, grids = [c.to_pylist() for c in batch.columns[:6]], _grids(batch.column(6))
-        rows, sent = [[] for _ in range(9)], []
-        for run_id, t, bi, bj, ni, nj, u in zip(*keys, grids):
-            u = u.reshape(-1, ni, nj)
+        rows = [[] for _ in names]
+        for run_id, t, bi, bj, ni, nj, body in zip(*(c.to_pylist() for c in batch.columns)):
+            u = np.frombuffer(body).reshape(-1, ni, nj)
             for ti, x, sx, dx, _ in reach(bi, nx, bs, h):
                 for tj, y, sy, dy, _ in reach(bj, ny, bs, h):
                     side = 3 * (_side(x, dx, extent(ti, nx), h) + 1) + _side(y, dy, extent(tj, ny), h) + 1
-                    for column, value in zip(rows, (run_id, t, ti, tj, side, x, y, dx, dy)):
+                    for column, value in zip(rows, (run_id, t, ti, tj, side, x, y, dx, dy, np.ascontiguousarray(u[:, sx : sx + dx, sy : sy + dy]).tobytes())):
                         column.append(value)
-                    sent.append(u[:, sx : sx + dx, sy : sy + dy])
-        kinds = (pa.string(), *[pa.int32()] * 8)
-        return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(rows, kinds)), _lists(sent)], ["run_id", "t", "bi", "bj", "side", "x", "y", "dx", "dy", "data"])
+        kinds = (pa.string(), *[pa.int32()] * 8, pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
     def run(batches):
         for batch in batches:
             for first in range(0, batch.num_rows, AT_ONCE):
                 yield parts(batch.slice(first, AT_ONCE))
 
-    return tiles.select("run_id", "t", "bi", "bj", "ni", "nj", "data").mapInArrow(run, PARTS)
+    return tiles.select("run_id", "t", "bi", "bj", "ni", "nj", "body").mapInArrow(run, PARTS.replace("array<double>", "binary"))
+
+
+def exchange(tiles: DataFrame, nx: int, ny: int, bs: int, h: int) -> DataFrame:
+    """For each tile the parts that it and its neighbours send: run_id, t, bi, bj, side (where the part lies, 0 .. 8 with 4 the
+    tile itself), x, y (its place from the beginning of the halo), dx, dy (its extents), data. In small grids one neighbour sends several parts;
+    where the last tiles are narrower than h, several neighbours send parts to one side."""
+    return _exchanged(_pack(tiles), nx, ny, bs, h).mapInArrow(_listed, PARTS)
 
 
 def _stepped(u: np.ndarray, kernel: TileKernel, steps: int, params: dict | None) -> np.ndarray:
@@ -118,36 +156,42 @@ def _around(body: np.ndarray, h: int, parts) -> np.ndarray:
     return u
 
 
-def advance(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKernel, steps: int, params: dict | None = None) -> DataFrame:
-    """One round of ``steps`` full steps, one shuffle. Tiles that don't exist stay away."""
+def _advanced(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKernel, steps: int, params: dict | None) -> DataFrame:
+    """``advance`` of tiles with their body as bytes."""
     h = steps * kernel.radius * kernel.stages
-    parts = exchange(tiles, nx, ny, bs, h)
+    names, kinds = ["run_id", "t", "bi", "bj", "ni", "nj", "body"], (pa.string(), *[pa.int32()] * 5, pa.binary())
 
     def run(key, table):
         at = dict(zip(table.column("side").to_pylist(), range(table.num_rows)))
         run_id, t, bi, bj = (k.as_py() for k in key)
         ni, nj = min(bs, nx - bi * bs), min(bs, ny - bj * bs)
-        data = _grids(table.column("data").combine_chunks())
         if 4 not in at:  # only strips: there is no such tile
-            return pa.table([pa.array([], k) for k in (pa.string(), *[pa.int32()] * 5, pa.list_(pa.float64()))], ["run_id", "t", "bi", "bj", "ni", "nj", "data"])
+            return pa.table([pa.array([], k) for k in kinds], names)
+        data = [np.frombuffer(d.as_py()) for d in table.column("data")]
         around = zip(*(table.column(c).to_pylist() for c in ("x", "y", "dx", "dy")), data)
         u = _stepped(_around(data[at[4]].reshape(-1, ni, nj), h, around), kernel, steps, params)
-        return pa.table({"run_id": pa.array([run_id], pa.string()), **{n: pa.array([c], pa.int32()) for n, c in (("t", t + steps), ("bi", bi), ("bj", bj), ("ni", ni), ("nj", nj))}, "data": _lists([u])})
+        return pa.table([pa.array([x], k) for x, k in zip((run_id, t + steps, bi, bj, ni, nj, np.ascontiguousarray(u).tobytes()), kinds)], names)
+
+    return _exchanged(tiles, nx, ny, bs, h).groupBy("run_id", "t", "bi", "bj").applyInArrow(run, BODIES)
 
-    return parts.groupBy("run_id", "t", "bi", "bj").applyInArrow(run, TILES)
+
+def advance(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKernel, steps: int, params: dict | None = None) -> DataFrame:
+    """One round of ``steps`` full steps, one shuffle. Tiles that don't exist stay away."""
+    return _unpack(_advanced(_pack(tiles), nx, ny, bs, kernel, steps, params))
 
 
 def evolve(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKernel, n: int, k: int = 1, params: dict | None = None, cut_every: int = 4, save_every_round: bool = False) -> DataFrame:
     """n steps, k per shuffle; the last round may be shorter. Returns the last frame, or the
-    frames after every round. Lineage is cut every cut_every rounds."""
-    done, rounds, frames = 0, 0, [tiles]
+    frames after every round. Lineage is cut every cut_every rounds. Between rounds a tile's body is bytes."""
+    done, rounds, state = 0, 0, _pack(tiles)
+    frames = [state]
     while done < n:
-        tiles = advance(tiles, nx, ny, bs, kernel, min(k, n - done), params)
+        state = _advanced(state, nx, ny, bs, kernel, min(k, n - done), params)
         done, rounds = done + min(k, n - done), rounds + 1
         if rounds % cut_every == 0 and done < n:
-            tiles = cut_lineage(tiles)
-        frames.append(tiles)
-    return reduce(DataFrame.unionByName, frames) if save_every_round else tiles
+            state = cut_lineage(state)
+        frames.append(state)
+    return _unpack(reduce(DataFrame.unionByName, frames) if save_every_round else state)
 
 
 KEY = ("run_id", "bi", "bj")
@@ -172,26 +216,6 @@ def _from_bands(edges: bytes, ni: int, nj: int, h: int) -> list[np.ndarray]:
     return out
 
 
-def _packed(h: int):
-    def run(batches):
-        for batch in batches:
-            for first in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(first, AT_ONCE)
-                shapes = zip(part.column(4).to_pylist(), part.column(5).to_pylist())
-                grids = [g.reshape(-1, ni, nj) for g, (ni, nj) in zip(_grids(part.column(6)), shapes)]
-                made = [pa.array([np.ascontiguousarray(g).tobytes() for g in grids], pa.binary()), pa.array([_bands(g, h) for g in grids], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*part.columns[:6], *made], ["run_id", "t", "bi", "bj", "ni", "nj", "body", "edges"])
-
-    return run
-
-
-def _unpacked(batches):
-    for batch in batches:
-        for first in range(0, batch.num_rows, AT_ONCE):
-            part = batch.slice(first, AT_ONCE)
-            yield pa.RecordBatch.from_arrays([*part.columns[:6], _lists([np.frombuffer(b.as_py()) for b in part.column(6)])], ["run_id", "t", "bi", "bj", "ni", "nj", "data"])
-
-
 def strips(state: DataFrame, nx: int, ny: int, bs: int, h: int, width: int) -> DataFrame:
     """What tiles send to others for a halo of h, cut from their edges (of ``width``): run_id, bi, bj, x, y, dx, dy, data as bytes."""
     names = ["run_id", "bi", "bj", "x", "y", "dx", "dy", "data"]
@@ -243,19 +267,20 @@ def advance_in_place(state: DataFrame, nx: int, ny: int, bs: int, kernel: TileKe
 
 
 def evolve_in_place(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKernel, n: int, k: int = 1, params: dict | None = None, buckets: int | None = None) -> DataFrame:
-    """n steps, k per round, as ``evolve`` does them: the last frame. ``buckets`` (one task each; about 64 MB of tiles by default) hold the state
+    """n steps, k per round, as ``evolve`` does them: the last frame. ``buckets`` (one task each; by default for about 64 MB of tiles, or as many as there are cores) hold the state
     in tables of the session's warehouse, of which there are two at any time, and none in the end."""
     spark, width = tiles.sparkSession, k * kernel.radius * kernel.stages
     check_halo(nx, ny, bs, width)
     packed = cut_lineage(tiles.select("run_id", "t", "bi", "bj", "ni", "nj", "data").mapInArrow(_packed(width), STATE))
     if not buckets:
-        size = packed.agg(F.sum(F.length("body"))).first()[0] or 0
-        buckets = -(-size // (64 << 20)) or 1
+        size, number = packed.agg(F.sum(F.length("body")), F.count("*")).first()
+        buckets = max(-(-(size or 0) // (64 << 20)), min(number, spark.sparkContext.defaultParallelism), 1)
     name = lambda r: f"gridloom_state_{token}_{r}"
     token = uuid.uuid4().hex
 
     def keep(state, r):
-        state.write.format("parquet").bucketBy(buckets, *KEY).saveAsTable(name(r))
+        plain = state.write.format("parquet").option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
+        plain.bucketBy(buckets, *KEY).saveAsTable(name(r))
         return spark.table(name(r))
 
     done, rounds, state = 0, 0, keep(packed.repartition(buckets, *KEY), 0)
@@ -264,7 +289,7 @@ def evolve_in_place(tiles: DataFrame, nx: int, ny: int, bs: int, kernel: TileKer
         done, rounds = done + steps, rounds + 1
         state = keep(advance_in_place(state, nx, ny, bs, kernel, steps, width, params), rounds)
         spark.sql(f"DROP TABLE {name(rounds - 1)}")
-    out = cut_lineage(state.drop("edges").mapInArrow(_unpacked, TILES))
+    out = cut_lineage(_unpack(state.drop("edges")))
     spark.sql(f"DROP TABLE {name(rounds)}")
     return out
 

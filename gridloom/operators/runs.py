@@ -148,7 +148,7 @@ def _same(left: DataFrame, right: DataFrame, columns) -> tuple[DataFrame, Column
 def best_worst(df: DataFrame, by: list[str], metric: str) -> DataFrame:
     """Rows with the greatest (best) and the least (worst) metric of each group, ties
     included; a null in ``by`` is a group. Extremes by partial aggregation, then a join, not a window."""
-    df = cut_lineage(df)  # read twice
+    df = cut_lineage(df.select("*"))  # read twice
     ends = cut_lineage(df.groupBy(*by).agg(F.max(metric).alias("__best"), F.min(metric).alias("__worst")))
     ends, same = _same(df, F.broadcast(ends) if ends.limit(FEW + 1).count() <= FEW else ends, by)
     which = F.array_compact(F.array(F.when(F.col(metric) == F.col("__best"), "best"), F.when(F.col(metric) == F.col("__worst"), "worst")))

@@ -87,7 +87,7 @@ def test_bodies_stay_in_place(spark):
         strips = evolve.strips(spark.table("bodies_stay"), 64, 64, 16, 1, 1)
         assert strips.agg(F.sum(F.length("data"))).first()[0] == 16 * (4 * 16 + 4) * 8  # of 16 * 256 * 8
         assert "body" not in strips._jdf.queryExecution().executedPlan().toString()
-        got = array_of(grid.to_cells(out.drop("edges").mapInArrow(evolve._unpacked, evolve.TILES), 16), u.shape)
+        got = array_of(grid.to_cells(evolve._unpack(out.drop("edges")), 16), u.shape)
         assert np.allclose(got, diffused(u, 1), rtol=0, atol=1e-15)
     finally:
         spark.sql("DROP TABLE bodies_stay")
