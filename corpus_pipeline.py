@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and
 returns a DataFrame, which is written as Parquet in the shared checkpoint folder and read again
 as the next stage's docs. A run that failed goes on after its last finished stage if it is given
-its folder again; without one each run has a folder of its own.
+its folder again; without one each run has a folder of its own. What stands there belongs to the input files (their
+names, sizes and times) and the stages' names: with others a run starts anew. ``forget`` removes a folder.
 
 Defined results: what the stages' operators define. Rows without text or letters go in the first two
 stages; repeated rows and rows without ids are documents like others, of which dedup keeps one; empty
@@ -12,6 +13,7 @@ tables give an empty result; other columns of documents are carried along up to
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,9 +57,26 @@ def finished(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark)
 
 
+def state_of(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the input files and the stages."""
+    found = [name for name, _ in STAGES]
+    for name in ("documents", "labels"):
+        for file in sorted(table(spark, sf_dir, name).inputFiles()):
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+            status = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path)
+            found.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:32]
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Removes the results of a run."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
-    """All stages over documents, with their results in ``folder``; what stands finished there is not done again."""
-    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, with their results in ``folder``; what stands finished there for the same input is not done again."""
+    folder = f"{folder}/{state_of(spark, sf_dir)}" if folder else f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{folder}/{name}"
