@@ -8,7 +8,8 @@ read as a number in [0, 1), falls below a threshold: the fraction of the rate, c
 Independent draws over unequal documents would scatter around the target. So the draws of a
 source are coupled by a common threshold: the place in its hash order at which the words drawn
 come nearest to fraction * source size. By the hash that place is the fraction, but for chance,
-and every document has that probability; a source then misses its target by half the
+and so is a document's probability in a source of many documents; in one of few it isn't, as the draw that comes nearest is
+taken (a source's only document is rounded, not drawn). A source then misses its target by half the
 words of one document at most (or of documents whose draws agree in ``2 * BITS`` bits). Where it comes nearer
 still, the document at the threshold gives way to one range of later draws, in a small source another document.
 The place is found in two steps of ``BITS`` bits, with sums of 2^BITS ranges a source each, the second within the range that the first

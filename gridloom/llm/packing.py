@@ -1,12 +1,14 @@
 """Harmonic packing of tokenised documents into sequences of fixed capacity.
 
 Lengths fall into reciprocal classes: class j holds what is longer than capacity / (j + 1) and at
-most capacity / j, and a bin of class j takes exactly j documents, whole. Workers are Spark's
+most capacity / j, and a bin of class j takes exactly j documents, whole, but for the last one of a class in a unit, which may have
+fewer. Workers are Spark's
 tasks: each tokenises its own rows and, whenever about ``UNIT`` tokens have come together, fills
 its classes' bins by itself, without a shuffle and without waiting for another worker.
 
 Whatever such bins leave free is filled up with documents that are cut: the shortest of the unit, just as
-many as are needed, laid end to end over the free places in order. Documents longer than the
+many as are needed, laid end to end over the free places in order (in prose of mixed lengths about half of the documents, with a fifth of
+the tokens, so that classes of very short documents get no bins). Documents longer than the
 capacity first give whole sequences; their rest is classed like a document. What the fillers have
 left in the end, less than one sequence, closes the unit at powers of two (that length in
 binary), which need no padding. So there is no padding, and a document is only cut if it is longer than the

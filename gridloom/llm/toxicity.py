@@ -4,8 +4,8 @@ A text is cut into clauses and each clause into words; words are read as symbols
 target, negation, reporting verb, other. Five small transducers read the same symbols:
 
 * insult passes on the weight of insults and words of threats;
-* threat notes a word of threat and somebody addressed, in any order; both together raise the
-  clause's weight to that of a sure insult ("I will kill you");
+* threat notes a word of threat and somebody addressed, in any order; both together multiply the
+  clause's weight, so that a word of threat alone reaches that of a sure insult ("I will kill you") and insults in it weigh more;
 * target notes whether somebody is addressed, before or after, and raises the clause's weight;
 * negation lowers what follows within three words ("not a ...");
 * reported speech lowers what follows a reporting verb in the clause ("called him a ...").

@@ -62,3 +62,21 @@ def test_a_failed_run_goes_on(spark, tmp_path, monkeypatch):
     got = {r[0] for r in corpus_pipeline.run(spark, sf, folder).collect()}
     assert done == ["first", "second", "second", "third"]
     assert got == {r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id % 3 > 0 AND doc_id % 2 > 0").select("doc_id").collect()}
+
+
+def test_another_input_starts_anew(spark, tmp_path, monkeypatch):
+    done, folder, data = [], f"{tmp_path}/out", f"{tmp_path}/in"
+
+    def stage(spark, docs, sf_dir):
+        done.append(docs.count())
+        return docs.select("doc_id")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("only", stage)])
+    for n in (3, 3, 5):
+        if n != (done or [0])[-1]:
+            for name in ("documents", "labels"):
+                spark.range(n).withColumnRenamed("id", "doc_id").write.mode("overwrite").parquet(f"{data}/{name}.parquet")
+        assert corpus_pipeline.run(spark, data, folder).count() == n
+    assert done == [3, 5]
+    corpus_pipeline.forget(spark, folder)
+    assert corpus_pipeline.run(spark, data, folder).count() == 5 and done == [3, 5, 5]
