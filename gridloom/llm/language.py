@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 from .samples import fold, per_class
 
 WINDOW, DIMS, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 16
@@ -174,6 +174,7 @@ def keep_confident(docs: DataFrame, net: ByteNet | None, min_score: float = MIN_
         for batch in batches:
             keep = [language != "und" and score >= min_score for language, score in scored(batch.column(at).to_pylist(), net)]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

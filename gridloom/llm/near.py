@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, give_back
 from .components import components, tasks
 from .simhash import ALL, SEED, _signed, spread
 
@@ -105,6 +105,7 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             made = [set_of(t.as_py(), width) for t in batch.column(2)]
             found = np.array([m[:-1] for m in made], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(found[:, k]) for k in range(len(names))), pa.array([m[-1] for m in made], pa.binary())], ["row", "id", *names, "signature"])
+        give_back()
 
     return docs.select("row", "id", "text").mapInArrow(run, f"row long, id {kind}, " + ", ".join(f"{c} long" for c in names) + ", signature binary")
 
@@ -206,6 +207,8 @@ def _candidates(sets: DataFrame, tried: DataFrame | None, most: int, likeness: f
             held.append([c[done:] for c in new])
         if held:
             yield pairs(*(np.concatenate(c) for c in zip(*held)))
+        held.clear()
+        give_back()
 
     columns = ["key", "sid", *PRINTS] + ["root"] * (tried is not None)
     listed = places(spread(sets.select("n", *columns[1:]), "sid")).select(*columns)
@@ -235,6 +238,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, likeness: float) -
         for batch in batches:
             good = pa.array([jaccard(s.as_py(), t.as_py(), width) >= likeness for s, t in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(good)
+        give_back()
 
     joined = pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long")

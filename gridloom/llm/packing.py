@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import give_back, table
 
 CAPACITY, END_ID, REMEMBERED = 4096, 2, 300_000  # words, and as many parts of words
 UNIT, UNIT_DOCUMENTS = 1 << 22, 1 << 17  # tokens, or documents, that a worker packs at once
@@ -161,6 +161,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
                     names, ids, held = [], [], 0
         if ids:
             yield from packed(names, ids, sequences, kind)
+        names, ids = [], []
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, give_back, table
 from .samples import fold
 
 ORDER, BLOCK_BYTES, PRIOR, QUANTILE, MARGIN, HOLD_OUT = 4, 12 << 20, 60, 0.95, 1.08, 5
@@ -116,6 +116,8 @@ def _block_counts(packs: DataFrame, trusted: DataFrame) -> DataFrame:
             held = {lang: [_merged(p)] if len(p) > 24 else p for lang, p in held.items()}
         found = [(lang, *_merged(p)) for lang, p in held.items()]
         block = left.column("block")[0].as_py() if left.num_rows else 0
+        held.clear()
+        give_back()
         return pa.table([pa.array([block] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.string()), pa.array([f[1].astype("<u4").tobytes() for f in found], pa.binary()), pa.array([f[2].astype("<i8").tobytes() for f in found], pa.binary())], ["block", "lang", "keys", "counts"])
 
     return packs.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block long, lang string, keys binary, counts binary")
@@ -207,6 +209,8 @@ def _text_sums(packs: DataFrame, chances: DataFrame, id_type: str) -> DataFrame:
                     known, chance = model[lang]
                     total[rows] = np.add.reduceat(chance[np.searchsorted(known, key)], np.cumsum(n) - n)
             parts.append(pa.table([ids, own, pa.array(names, pa.string()), pa.array(size), pa.array(total, from_pandas=True)], ["__id", "__own", "lang", "n_bytes", "logp"]))
+        model.clear()
+        give_back()
         return pa.concat_tables(parts) if parts else pa.table([left.column(0).slice(0, 0).cast(id_arrow), pa.array([], pa.int64()), pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.float64())], ["__id", "__own", "lang", "n_bytes", "logp"])
 
     id_arrow = pa.string() if id_type == "string" else pa.int64()
