@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and
 returns a DataFrame, which is written as Parquet in the shared checkpoint folder and read again
 as the next stage's docs. A run that failed goes on after its last finished stage if it is given
-its folder again; without one each run has a folder of its own. What stands there belongs to the input files (their
+its folder again; without one each run has a folder of its own. Texts go to Python workers in batches of 8 MB, a setting that
+stays in the session. What stands there belongs to the input files (their
 names, sizes and times) and the stages' names: with others a run starts anew. ``forget`` removes a folder.
 
 Defined results: what the stages' operators define. Rows without text or letters go in the first two
@@ -19,21 +20,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import language, mixing, near, packing, quality
-from gridloom.llm.common import shared_folder, table
+from gridloom.llm.common import shared_folder, small_batches, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that trusted text doesn't predict."""
+    small_batches(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or of doubtful language."""
+    small_batches(spark)
     return language.keep_confident(docs, language.train(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies (five-word shingles, likeness 0.8 or more)."""
+    small_batches(spark)
     return near.keep_one(docs, width=5, likeness=0.8)
 
 
@@ -44,6 +48,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' places in training sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
