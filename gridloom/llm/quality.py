@@ -219,11 +219,12 @@ def _text_sums(packs: DataFrame, chances: DataFrame, id_type: str) -> DataFrame:
 
 def _pooled(counts: DataFrame) -> DataFrame:
     """counts with those of all languages' trusted texts for NO_LANGUAGE, if there are texts of it; it has none of its own."""
-    if counts.filter(F.col("lang") == NO_LANGUAGE).isEmpty():
+    own = counts.filter(F.col("lang") == NO_LANGUAGE)
+    if own.isEmpty():
         return counts
     every = counts.filter("n > 0").groupBy("key").agg(F.sum("n").alias("n")).select(F.lit(NO_LANGUAGE).alias("lang"), "key", "n")
-    both = counts.unionByName(every)
-    return both.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    pooled = own.unionByName(every).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return counts.filter(F.col("lang") != NO_LANGUAGE).unionByName(pooled)
 
 
 def _judged_as(rows: DataFrame, taught: DataFrame) -> DataFrame:
@@ -277,9 +278,12 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     summed = cut(listed.groupBy("lang", "key").agg(F.sum("n").alias("n")))
     taught = cut(summed.filter("n > 0").select(F.col("lang").alias("t_lang")).distinct())
     taught = _small(taught, taught.count())
-    relabelled = _judged_as(summed, taught).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    chances = cut(log_probabilities(_pooled(relabelled)))
-    listed = _judged_as(listed.select("block", "lang", "key"), taught)
+    untaught = summed.join(taught, F.col("lang") == F.col("t_lang"), "left_anti")
+    if not untaught.filter(F.col("lang") != NO_LANGUAGE).isEmpty():
+        others = _judged_as(untaught, taught).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        summed = summed.join(taught, F.col("lang") == F.col("t_lang"), "left_semi").unionByName(others)
+        listed = _judged_as(listed.select("block", "lang", "key"), taught)
+    chances = cut(log_probabilities(_pooled(summed)))
     found = chances.withColumnsRenamed({"lang": "c_lang", "key": "c_key"})
     in_blocks = listed.join(found, (listed["lang"] == found["c_lang"]) & (listed["key"] == found["c_key"])).select("block", "lang", "key", "logp")
     sums = cut(_text_sums(packs, in_blocks, docs.schema["__id"].dataType.simpleString()))
