@@ -9,13 +9,16 @@ factor of 0.8 at most), on one fingerprint (RADIUS = 20 of 64 bits) and on WORDS
 differ (0.998 of the pairs at the limit). README has what was measured. Candidates are then verified by the exact likeness of their sets.
 
 Equal sets are one from the start. A pair counts at one place only, the first where it meets. A group isn't
-expanded into pairs: in each round a set takes, at each of its places, the nearest candidates (by bits of all fingerprints) that are in another
-component and haven't been tried yet, one in the first round and four times as many in each next one. Tried pairs stand beside the
-sets at their place. What is alike joins components; rounds end when no candidate is left that hasn't been tried, so that an unlike neighbour keeps no pair
-apart. From the second round on only sets that had a candidate take part. Before texts are read, a pair's likeness is
-estimated from SIGNATURE least hashes, one for each range of hashes; it goes on unless that lies SURE standard deviations below the limit.
-
-There are 65536 places a part, 102 rows a set. A task holds one place; comparisons in places grow with the square
+expanded into pairs. In the first round a set takes, at each of its places, the nearest candidate (by bits of all fingerprints); before texts are
+read, a pair's likeness is estimated from SIGNATURE least hashes, one for each range of hashes, and it goes on unless that lies SURE standard deviations below
+the limit. What is alike joins components. In the second round the sets that had a candidate take all of theirs that are in another component and
+haven't been tried, and these are decided where they meet: first each place tells which of its sets have one, then these come with all their shingles' hashes
+(32 bits, which can only make sets look more alike), and a place gives out just the pairs that join two of its components. So unlike pairs, of which a
+large group of half-alike texts has many, never become rows. Rounds of the second kind end when all pairs given out are alike, as nearly always
+after one: each candidate is then either found unlike or within a component. Tried pairs stand beside the sets at their place.
+
+There are 65536 places a part, 102 rows a set. A task holds one place, in the second round with the hashes of its sets that have a candidate left there (4 bytes a
+shingle); comparisons in places grow with the square
 of the number of distinct sets (less than one in a hundred pairs is compared), rows with their number.
 
 A group's keeper is one row, found by a hash of all its columns; only rows that stand more than once
@@ -142,80 +145,156 @@ def _nearest(i: np.ndarray, j: np.ndarray, bits: np.ndarray, most: int) -> np.nd
     return keep
 
 
-def _candidates(sets: DataFrame, tried: DataFrame | None, most: int, likeness: float) -> DataFrame:
-    """sets (sid, n, fingerprints, root) to pairs meet, a, b that may be alike: for each set and place (meet) the ``most`` nearest
-    others with another root, of the pairs that have no earlier place and aren't in tried (meet, a, b; a > b). Without tried each set is its own root."""
-
-    def met(place, n, sid, root, prints, old):
-        """Pairs of one place's sets, by index."""
-        m, at = len(n), 1
-        order = np.argsort(sid)
-        rank = np.empty(m, np.int64)
-        rank[order] = np.arange(m)
-        old = np.searchsorted(sid[order], old[0]) * m + np.searchsorted(sid[order], old[1]) if len(old[0]) else None
-        found = [np.zeros(0, np.int64)] * 3
-        while at < m:
-            low = int(np.searchsorted(n, likeness * n[at] - 1e-6))
-            to = min(m, at + max(1, COMPARED // (m - low)))
-            i, j = np.nonzero(np.bitwise_count(prints[0][at:to, None] ^ prints[0][None, low:to]) <= RADIUS)
-            i, j = i + at, j + low
-            good = (j < i) & (n[j] >= likeness * n[i] - 1e-6) & (root[i] != root[j])
-            i, j = i[good], j[good]
-            good = _first_place([p[i] for p in prints], [p[j] for p in prints]) == place
-            i, j = i[good], j[good]
-            bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in prints)
-            good = bits <= WIDE
-            if old is not None:
-                good &= ~np.isin(np.maximum(rank[i], rank[j]) * m + np.minimum(rank[i], rank[j]), old)
-            found = [np.concatenate([f, x[good]]) for f, x in zip(found, (i, j, bits))]
-            at = to
-            if len(found[0]) > 4 * COMPARED or at >= m:
-                keep = _nearest(*found, most)
-                found = [f[keep] for f in found]
-        return found[0], found[1]
+def _met(place: int, n: np.ndarray, sid: np.ndarray, root: np.ndarray, prints: list[np.ndarray], old: tuple, likeness: float):
+    """Pairs i > j of one place's sets (by size) that may be alike, have other roots and no earlier place and aren't among old ones (sids, the greater first), with their differing bits; some at a time."""
+    m, at = len(n), 1
+    order = np.argsort(sid)
+    rank = np.empty(m, np.int64)
+    rank[order] = np.arange(m)
+    if len(old[0]):
+        here = np.isin(old[0], sid) & np.isin(old[1], sid)
+        old = np.searchsorted(sid[order], old[0][here]) * m + np.searchsorted(sid[order], old[1][here])
+    else:
+        old = None
+    while at < m:
+        low = int(np.searchsorted(n, likeness * n[at] - 1e-6))
+        to = min(m, at + max(1, COMPARED // (m - low)))
+        i, j = np.nonzero(np.bitwise_count(prints[0][at:to, None] ^ prints[0][None, low:to]) <= RADIUS)
+        i, j = i + at, j + low
+        good = (j < i) & (n[j] >= likeness * n[i] - 1e-6) & (root[i] != root[j])
+        i, j = i[good], j[good]
+        good = _first_place([p[i] for p in prints], [p[j] for p in prints]) == place
+        i, j = i[good], j[good]
+        bits = sum(np.bitwise_count(p[i] ^ p[j]).astype(np.int64) for p in prints)
+        good = bits <= WIDE
+        if old is not None:
+            good &= ~np.isin(np.maximum(rank[i], rank[j]) * m + np.minimum(rank[i], rank[j]), old)
+        yield i[good], j[good], bits[good]
+        at = to
+
+
+def _joining(met, root: np.ndarray, hashes: list[np.ndarray], likeness: float) -> list[tuple[int, int]]:
+    """Of a place's pairs those that are alike by their sets' hashes and join two of its components."""
+    lengths = np.array([len(h) for h in hashes], np.int64)
+    ends, component, out = np.cumsum(lengths), np.unique(root, return_inverse=True)[1], []
+    names, flat = np.unique(np.concatenate(hashes), return_inverse=True)
+    own = np.zeros(len(names), bool)
+    for i, j, _ in met:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+        for s, e in zip(starts.tolist(), np.r_[starts[1:], len(i)].tolist()):
+            k, others = i[s], j[s:e]
+            own[flat[ends[k] - lengths[k] : ends[k]]] = True
+            while len(others := others[component[others] != component[k]]):
+                part, others = np.split(others, [max(1, COMPARED // int(lengths[k]))])
+                upto = np.cumsum(lengths[part])
+                found = own[flat[np.repeat(ends[part] - upto, lengths[part]) + np.arange(upto[-1])]]
+                both = np.add.reduceat(found, upto - lengths[part], dtype=np.int64)
+                for o in part[both >= (likeness - 1e-9) * (lengths[k] + lengths[part] - both)].tolist():
+                    if component[o] != component[k]:
+                        out.append((k, o))
+                        component[component == component[o]] = component[k]
+            own[flat[ends[k] - lengths[k] : ends[k]]] = False
+    return out
+
+
+def _by_place(listed: DataFrame, tried: DataFrame | None, each, schema: str) -> DataFrame:
+    """listed (key, sid, fingerprints, perhaps root and hashes) and tried pairs (meet, a, b; a > b), brought together by place;
+    ``each(meet, n, sid, root, prints, hashes, old)`` gives a place's rows, as columns."""
+
+    columns = listed.columns
+    if tried is not None:
+        none = [F.lit(None if c == "hashes" else 0).cast(dict(listed.dtypes)[c]).alias(c) for c in columns[2:] if c != "root"]
+        listed = listed.unionByName(tried.select(F.shiftleft("meet", 32).alias("key"), F.col("a").alias("sid"), F.col("b").alias("root"), *none))
 
-    def pairs(key, sid, *prints):
-        prints, root = prints[:WORDS], prints[-1] if len(prints) > WORDS else sid
+    def done_with(key, sid, *more):
+        prints, root = [p.view(np.uint64) for p in more[:WORDS]], more[WORDS] if len(more) > WORDS else sid
         meet, n = key >> 32, (key & ((1 << 32) - 1)) - 1
-        prints = [p.view(np.uint64) for p in prints]
-        starts = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]])
-        places, high, low = [], [], []
+        starts, made = np.flatnonzero(np.r_[True, meet[1:] != meet[:-1]]), []
         for s, e in zip(starts.tolist(), np.r_[starts[1:], len(meet)].tolist()):
             t = s + int(np.searchsorted(n[s:e], 0))  # first come the tried pairs
             if e - t > 1:
-                i, j = met(meet[s], n[t:e], sid[t:e], root[t:e], [p[t:e] for p in prints], (sid[s:t], root[s:t]))
-                a, b = sid[t:e][i], sid[t:e][j]
-                places.append(np.full(len(a), meet[s]))
-                high.append(np.maximum(a, b))
-                low.append(np.minimum(a, b))
-        made = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (places, high, low)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["meet", "a", "b"])
+                made.append(each(meet[s], n[t:e], sid[t:e], root[t:e], [p[t:e] for p in prints], more[-1][t:e], (sid[s:t], root[s:t])))
+        names = [c.split()[0] for c in schema.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (zip(*made) if made else [[]] * len(names))], names)
 
     def run(batches):
         held = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [np.asarray(c) for c in batch.columns]
+            new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             meet = new[0] >> 32
             done = int(np.searchsorted(meet, meet[-1]))  # the last place may go on
             if held and (done or held[-1][0][-1] >> 32 != meet[0]):
-                yield pairs(*(np.concatenate(c) for c in zip(*held, [c[:done] for c in new])))
+                yield done_with(*(np.concatenate(c) for c in zip(*held, [c[:done] for c in new])))
                 held = []
             elif done:
-                yield pairs(*(c[:done] for c in new))
+                yield done_with(*(c[:done] for c in new))
             held.append([c[done:] for c in new])
         if held:
-            yield pairs(*(np.concatenate(c) for c in zip(*held)))
+            yield done_with(*(np.concatenate(c) for c in zip(*held)))
         held.clear()
         give_back()
 
-    columns = ["key", "sid", *PRINTS] + ["root"] * (tried is not None)
-    listed = places(spread(sets.select("n", *columns[1:]), "sid")).select(*columns)
-    if tried is not None:
-        zero = [F.lit(0).cast("long").alias(c) for c in PRINTS]
-        listed = listed.unionByName(tried.select(F.shiftleft("meet", 32).alias("key"), F.col("a").alias("sid"), F.col("b").alias("root"), *zero))
-    return listed.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "sid").select(*columns).mapInArrow(run, "meet long, a long, b long")
+    return listed.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "sid").select(*columns).mapInArrow(run, schema)
+
+
+def _listed(sets: DataFrame) -> DataFrame:
+    columns = ["key", "sid", *PRINTS] + ["root"] * ("root" in sets.columns)
+    return places(spread(sets.select("n", *columns[1:]), "sid")).select(*columns)
+
+
+def _candidates(sets: DataFrame, tried: DataFrame | None, most: int, likeness: float) -> DataFrame:
+    """sets (sid, n, fingerprints, root) to pairs meet, a, b that may be alike: for each set and place (meet) the ``most`` nearest
+    others with another root, of the pairs that have no earlier place and aren't in tried (meet, a, b; a > b). Without tried each set is its own root."""
+
+    def nearest(meet, n, sid, root, prints, hashes, old):
+        found = [np.zeros(0, np.int64)] * 3
+        for new in _met(meet, n, sid, root, prints, old, likeness):
+            found = [np.concatenate(c) for c in zip(found, new)]
+            if len(found[0]) > 4 * COMPARED:
+                keep = _nearest(*found, most)
+                found = [f[keep] for f in found]
+        keep = _nearest(*found, most)
+        a, b = sid[found[0][keep]], sid[found[1][keep]]
+        return np.full(len(a), meet), np.maximum(a, b), np.minimum(a, b)
+
+    listed = _listed(sets if tried is not None else sets.select("sid", "n", *PRINTS))
+    return _by_place(listed, tried, nearest, "meet long, a long, b long")
+
+
+def _joined(sets: DataFrame, hashes: DataFrame, tried: DataFrame, likeness: float) -> DataFrame:
+    """Of all pairs of sets (sid, n, fingerprints, root) that ``_candidates`` may give, those meet, a, b that are alike by their hashes
+    (sid, hashes) and join two components of their place."""
+
+    def some(meet, n, sid, root, prints, hashes, old):
+        mine = np.zeros(len(sid), bool)
+        for i, j, _ in _met(meet, n, sid, root, prints, old, likeness):
+            mine[i] = mine[j] = True
+        return np.full(int(mine.sum()), meet), sid[mine]
+
+    def joining(meet, n, sid, root, prints, hashes, old):
+        pairs = _joining(_met(meet, n, sid, root, prints, old, likeness), root, [np.frombuffer(h, "<u4") for h in hashes], likeness)
+        a, b = (sid[np.array([p[k] for p in pairs], np.int64)] for k in (0, 1))
+        return np.full(len(a), meet), np.maximum(a, b), np.minimum(a, b)
+
+    found = _by_place(_listed(sets), tried, some, "meet long, sid long")
+    listed = found.join(sets.select("sid", "n", *PRINTS, "root").join(hashes, "sid"), "sid").selectExpr("shiftleft(meet, 32) | (n + 1) AS key", "sid", *PRINTS, "root", "hashes")
+    return _by_place(listed, tried, joining, "meet long, a long, b long")
+
+
+def _hashed(texts: DataFrame, width: int) -> DataFrame:
+    """texts (sid, text) to sid, hashes: 32 bits of each shingle's hash."""
+
+    def run(batches):
+        for batch in batches:
+            made = [np.fromiter((xxhash.xxh64_intdigest(s, SEED) & 0xFFFFFFFF for s in shingles_of(t.as_py(), width)), "<u4").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["sid", "hashes"])
+        give_back()
+
+    return texts.select("sid", "text").mapInArrow(run, "sid long, hashes binary")
 
 
 def _likely(pairs: DataFrame, signatures: DataFrame, likeness: float) -> DataFrame:
@@ -249,29 +328,33 @@ def set_roots(sets: DataFrame, docs: DataFrame, width: int = WIDTH, likeness: fl
     reachable, for sets that are alike to others."""
 
     def asked(pairs):
-        return cut(near.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").coalesce(tasks(pairs.count())))
-
-    def verified(pairs):
-        rows = asked(pairs).select("sid", "row")
-        texts = docs.join(F.broadcast(rows) if rows.count() <= FEW else rows, "row").groupBy("sid").agg(F.first("text").alias("text"))
-        return cut(_verified(pairs, texts, width, likeness))
-
-    left, tried, roots, near, most = sets, None, None, sets, 1
+        return cut(sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").coalesce(tasks(pairs.count())))
+
+    def texts(some):
+        rows = some.select("sid", "row")
+        return docs.join(F.broadcast(rows) if rows.count() <= FEW else rows, "row").groupBy("sid").agg(F.first("text").alias("text"))
+
+    pairs = cut(_candidates(sets, None, 1, likeness))
+    number = pairs.count()
+    if not number:
+        return sets.limit(0).select(F.col("sid").alias("node"), F.col("sid").alias("root"))
+    near = asked(pairs)  # all sets that ever have a candidate have one in the first round
+    tried = pairs.coalesce(tasks(number))
+    maybe = cut(_likely(tried, near, likeness).coalesce(tasks(number)))
+    edges = cut(_verified(maybe, texts(asked(maybe)), width, likeness))
+    hashes = cut(_hashed(texts(near), width))
     while True:
-        pairs = cut(_candidates(left, tried, most, likeness))
+        roots = cut(components(edges))
+        left = cut(near.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
+        pairs = cut(_joined(left, hashes, tried, likeness))
         number = pairs.count()
         if not number:
-            return sets.limit(0).select(F.col("sid").alias("node"), F.col("sid").alias("root")) if roots is None else roots
-        if near is sets:  # all sets that ever have a candidate have one in the first round
-            near = left = asked(pairs)
-            left = left.withColumn("root", F.col("sid"))
+            return roots
         pairs = pairs.coalesce(tasks(number))
-        alike = verified(cut(_likely(pairs, near, likeness).coalesce(tasks(number))))
-        edges = alike if tried is None else edges.unionByName(alike)
-        tried, most = pairs if tried is None else tried.unionByName(pairs), 4 * most
-        if not alike.isEmpty():
-            roots = cut(components(edges))
-            left = cut(near.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid")).drop("node"))
+        alike = cut(_verified(pairs, texts(asked(pairs)), width, likeness))
+        edges, tried = edges.unionByName(alike), tried.unionByName(pairs)
+        if alike.count() == number:
+            return cut(components(edges))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, likeness: float = LIKENESS) -> DataFrame:

@@ -156,3 +156,42 @@ def test_signatures_estimate_likeness():
             rows.append([np.frombuffer(near.signature_of(np.sort(np.r_[h[:both], x])), np.uint16) for x in (h[both : both + own], h[both + own :])])
         kept = near.likely(np.array([a for a, _ in rows]), np.array([b for _, b in rows]), 0.8)
         assert kept.mean() == 1 if like >= 0.8 else kept.mean() < 0.05
+
+
+def test_half_alike_texts_are_decided_at_their_places(spark, monkeypatch):
+    """A group of texts that are nearly alike, of which few pairs are alike: pairs that become rows grow with the texts, and all links are found."""
+    r = random.Random(13)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    owns = [edited(base, 0.84, word, r) for _ in range(150)]
+    texts = [" ".join(w) for w in owns + [edited(w, 0.85, word, r) for w in owns[::5]]]
+    pairs, root = groups_plainly(texts)
+    asked = []
+    for name in ("_likely", "_verified"):
+        checked = getattr(near, name)
+        monkeypatch.setattr(near, name, lambda found, *rest, checked=checked: asked.append(found.count()) or checked(found, *rest))
+    kept = {x["doc_id"] for x in near.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(pairs) >= 30 and abs(len(texts) - len(kept) - sum(i != k for i, k in enumerate(root))) <= 1
+    assert sum(asked) < 50 * len(texts), (asked, len(texts), len(pairs))
+
+
+def test_pairs_that_join_components_of_a_place():
+    """Chains, sets of several sizes and components that stand before; by chunks of a few pairs."""
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 32, 400, dtype=np.uint32)
+    sets = [np.unique(np.r_[base[k * 9 : k * 9 + 150], r.integers(0, 1 << 32, k % 7, dtype=np.uint32)]) for k in range(25)]
+    sets.sort(key=len)
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+    every = [(i, j) for i in range(25) for j in range(i)]
+    root = np.array([7 if k in (3, 20) else 100 + k for k in range(25)])
+    chunks = [tuple(np.array(x) for x in zip(*((i, j, 0) for i, j in every[a : a + 40]))) for a in range(0, len(every), 40)]
+    found = near._joining(chunks, root, sets, 0.8)
+    assert all(like(sets[i], sets[j]) for i, j in found)
+
+    def parts(pairs):
+        own = np.unique(root, return_inverse=True)[1].copy()
+        for i, j in pairs:
+            own[own == own[j]] = own[i]
+        return [own == x for x in own]
+
+    assert 5 < len(found) < 24 and (np.array(parts(found)) == np.array(parts([p for p in every if like(sets[p[0]], sets[p[1]])]))).all()
