@@ -9,7 +9,8 @@ are likelier than other junk's, while about one in a hundred clean texts is lost
 The work is laid out so that texts move little and n-grams less:
 
 1. documents are dealt into blocks by the hash of their id (of id and text where there is no id, or where one id has
-   more than a block's bytes), compressed on the way; each block
+   more than a block's bytes), and written compressed, once, to a table in buckets of blocks, which both passes over
+   texts read without a shuffle and which is dropped after them; each block
    counts its trusted n-grams and lists the distinct ones of all its texts (packed arrays);
 2. counts are summed over blocks, sharded by language and n-gram; continuation counts, discounts
    and back-off weights of all orders follow from them by grouping and joining those shards;
@@ -37,6 +38,7 @@ along by ``keep_good``.
 from __future__ import annotations
 
 import io
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -45,7 +47,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, table
+from .common import cut, give_back, shuffle_partitions, table
 from .samples import fold
 
 ORDER, BLOCK_BYTES, PRIOR, QUANTILE, MARGIN, HOLD_OUT = 4, 12 << 20, 60, 0.95, 1.08, 5
@@ -56,8 +58,8 @@ NO_LANGUAGE = "\u0001"  # stands for null inside
 BEFORE = b"\xff" * (ORDER - 1)  # stands before every text; UTF-8 has no such byte
 
 
-def _packed(docs: DataFrame, blocks: int) -> DataFrame:
-    """docs (block, __id, __own, __lang, __text) as compressed packs (block, pack), brought together by block."""
+def _packed(docs: DataFrame) -> DataFrame:
+    """docs (block, __id, __own, __lang, __text) as compressed packs (block, pack)."""
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=6)
@@ -72,7 +74,15 @@ def _packed(docs: DataFrame, blocks: int) -> DataFrame:
                 found.append((int(block), squeeze.compress(sink.getvalue())))
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary())], ["block", "pack"])
 
-    return docs.select("block", "__id", "__own", "__lang", "__text").mapInArrow(run, "block long, pack binary").repartition(blocks, "block")
+    return docs.select("block", "__id", "__own", "__lang", "__text").mapInArrow(run, "block long, pack binary")
+
+
+def _kept(packs: DataFrame, blocks: int, name: str) -> DataFrame:
+    """packs as a table of that name, in buckets by block: each of the tasks, no more than there are blocks, writes to each bucket."""
+    buckets = min(blocks, max(64, shuffle_partitions(packs.sparkSession)))
+    plain = packs.write.format("parquet").option("compression", "uncompressed").option("parquet.enable.dictionary", "false")
+    plain.bucketBy(buckets, "block").saveAsTable(name)
+    return packs.sparkSession.table(name)
 
 
 def _unpacked(packs: pa.Table):
@@ -264,15 +274,10 @@ def _in_blocks(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, DataFrame,
     return docs.withColumn("block", number).drop("__hot"), hot, blocks
 
 
-def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang: str, quantile: float, margin: float, block_bytes: int) -> DataFrame:
-    """__id, __own, lang, n_bytes, perplexity, threshold, keep: a row for each row of docs."""
-    docs = docs.select(F.col(id_col).alias("__id"), _own(id_col, text_col, lang).alias("__own"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("__lang"), F.col(text_col).alias("__text"))
-    known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).cast(docs.schema["__id"].dataType).alias("__t")).agg(F.min("quality").alias("q")).filter("q = 1").drop("q")
-    held_out = fold(F.col("__t"), HOLD_OUT) == 0
-    dealt, hot, blocks = _in_blocks(docs, block_bytes)
-    packs = _packed(dealt, blocks)
+def _sums(packs: DataFrame, trusted: DataFrame, hot: DataFrame, blocks: int, id_type: str) -> DataFrame:
+    """What ``_text_sums`` gives for the texts of packs, by models of the trusted ids' (__t) texts."""
     places = F.when(F.col("__hot").isNull(), F.array(F.pmod(F.xxhash64("__t"), F.lit(blocks)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    taught = known.filter(~held_out).join(hot, F.col("__t") == F.col("__hot"), "left").select("__t", F.explode(places).alias("block"))
+    taught = trusted.join(hot, F.col("__t") == F.col("__hot"), "left").select("__t", F.explode(places).alias("block"))
     counted = cut(_block_counts(packs, taught))
     listed = _listed(counted)
     summed = cut(listed.groupBy("lang", "key").agg(F.sum("n").alias("n")))
@@ -286,7 +291,21 @@ def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang
     chances = cut(log_probabilities(_pooled(summed)))
     found = chances.withColumnsRenamed({"lang": "c_lang", "key": "c_key"})
     in_blocks = listed.join(found, (listed["lang"] == found["c_lang"]) & (listed["key"] == found["c_key"])).select("block", "lang", "key", "logp")
-    sums = cut(_text_sums(packs, in_blocks, docs.schema["__id"].dataType.simpleString()))
+    return cut(_text_sums(packs, in_blocks, id_type))
+
+
+def _judged(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang: str, quantile: float, margin: float, block_bytes: int) -> DataFrame:
+    """__id, __own, lang, n_bytes, perplexity, threshold, keep: a row for each row of docs."""
+    docs = docs.select(F.col(id_col).alias("__id"), _own(id_col, text_col, lang).alias("__own"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("__lang"), F.col(text_col).alias("__text"))
+    known = labels.filter(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).cast(docs.schema["__id"].dataType).alias("__t")).agg(F.min("quality").alias("q")).filter("q = 1").drop("q")
+    held_out = fold(F.col("__t"), HOLD_OUT) == 0
+    dealt, hot, blocks = _in_blocks(docs, block_bytes)
+    name = f"quality_{uuid.uuid4().hex}"
+    try:
+        packs = _kept(_packed(dealt.coalesce(blocks)), blocks, name)
+        sums = _sums(packs, known.filter(~held_out), hot, blocks, docs.schema["__id"].dataType.simpleString())
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     limits, top, most = _limits(sums.filter(f"logp IS NOT NULL AND lang <> '{NO_LANGUAGE}'").join(known.filter(held_out), F.col("__id") == F.col("__t"), "left_semi"), quantile, margin)
     mean, limit = F.coalesce("mean", F.lit(top).cast("double")), F.coalesce("limit", F.lit(most).cast("double"))
     judged = _drawn(sums.join(limits, F.col("lang") == F.col("l_lang"), "left"), mean).withColumn("threshold", F.when(F.col("logp").isNotNull(), limit)).drop("l_lang", "mean", "limit")

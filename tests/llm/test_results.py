@@ -301,6 +301,29 @@ def test_quality_of_rows_without_id_or_language(spark):
     assert sorted(zip(one.n_bytes, one.perplexity.round(9))) == sorted(zip(other.n_bytes, other.perplexity.round(9)))
 
 
+def test_quality_packs_texts_once(spark):
+    """Texts are read for their sizes and packed once; both passes read the packs without a shuffle, and nothing of them stays."""
+    r = random.Random(18)
+    words = ["the", "cat", "sat", "on", "mat", "and", "ran"]
+    docs = spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(40)), "en") for i in range(300)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    read, before = spark.sparkContext.accumulator(0), len(spark.catalog.listTables())
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    assert quality.judge(docs.mapInArrow(count, docs.schema), labels, block_bytes=5000).filter("keep").count() > 250
+    assert 300 < read.value <= 600 and len(spark.catalog.listTables()) == before
+    packs = quality._kept(quality._packed(docs.selectExpr("doc_id % 9 AS block", "doc_id AS __id", "1L AS __own", "lang AS __lang", "text AS __text")), 9, "packs_of_a_test")
+    try:
+        plan = quality._block_counts(packs, docs.selectExpr("doc_id AS __t", "doc_id % 9 AS block"))
+        assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(block") == 1
+    finally:
+        spark.sql("DROP TABLE packs_of_a_test")
+
+
 def test_quality_of_many_and_untaught_languages(spark):
     """Hundreds of languages are modelled each; junk goes in a language without trusted text too, and its plain text stays."""
     r = random.Random(6)
