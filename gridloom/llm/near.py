@@ -341,7 +341,7 @@ def set_roots(sets: DataFrame, docs: DataFrame, width: int = WIDTH, likeness: fl
     near = asked(pairs)  # all sets that ever have a candidate have one in the first round
     tried = pairs.coalesce(tasks(number))
     maybe = cut(_likely(tried, near, likeness).coalesce(tasks(number)))
-    edges = cut(_verified(maybe, texts(asked(maybe)), width, likeness))
+    edges = cut(_verified(maybe, texts(near), width, likeness))
     hashes = cut(_hashed(texts(near), width))
     while True:
         roots = cut(components(edges))

@@ -175,6 +175,17 @@ def test_half_alike_texts_are_decided_at_their_places(spark, monkeypatch):
     assert sum(asked) < 50 * len(texts), (asked, len(texts), len(pairs))
 
 
+def test_candidates_are_listed_by_set_once(spark, monkeypatch):
+    """The sets that have a candidate are told from the first round's pairs alone, and texts are read for them."""
+    listed, exploded = [], F.explode
+    monkeypatch.setattr(near.F, "explode", lambda c: listed.append(str(c)) or exploded(c))
+    before, joined = [], near._joined
+    monkeypatch.setattr(near, "_joined", lambda *args: before.append(sum("array(a, b)" in c for c in listed)) or joined(*args))
+    texts = planted(5, 30)
+    kept = near.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert kept < len(texts) and before[0] == 1
+
+
 def test_pairs_that_join_components_of_a_place():
     """Chains, sets of several sizes and components that stand before; by chunks of a few pairs."""
     r = np.random.default_rng(4)
