@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -72,6 +73,17 @@ def segment(chunks: list[str], model: sentencepiece.SentencePieceProcessor) -> l
     return found
 
 
+def numbering() -> defaultdict:
+    """A dictionary that numbers its keys in the order in which they are first looked up."""
+    number: defaultdict = defaultdict()
+    number.default_factory = number.__len__
+    return number
+
+
+def _looked_up(number: defaultdict, chunks: list) -> np.ndarray:
+    return np.fromiter(map(number.__getitem__, chunks), np.uint32, len(chunks))
+
+
 def _squeezed(data) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(data)
 
@@ -140,8 +152,8 @@ def _table(lists: DataFrame, path: str) -> DataFrame:
     """lists to block, shard, lengths, pieces: for each block and shard its chunks' ids. A shard's distinct chunks are segmented here, each once."""
 
     def run(key, packs):
-        number: dict[bytes, int] = {}
-        which = [np.array([number.setdefault(c, len(number)) for c in _expanded(p).split(BETWEEN)], np.int64) for p in packs.column("chunks")]
+        number = numbering()
+        which = [_looked_up(number, _expanded(p).split(BETWEEN)).astype(np.int64) for p in packs.column("chunks")]
         names = list(number)
         found = [i for a in range(0, len(names), 10_000) for i in segment([c.decode() for c in names[a : a + 10_000]], model_of(path))]
         lengths = np.array([len(i) for i in found], np.int64)
@@ -162,13 +174,13 @@ def _numbered(docs: DataFrame, block_bytes: int, shards: int) -> DataFrame:
     """block, rows (ids, and where each one's chunks end), numbers (of its chunks, in the block's list), dealt (the shard of each chunk of the list)."""
 
     def run(batches):
-        number: dict[str, int] = {}
+        number = numbering()
         names, parts = [], []
 
         def each(block, ids, texts, ends):
             if texts:
                 names.append(ids)
-                parts.extend(np.array([number.setdefault(c, len(number)) for c in chunks_of(text or "")], np.uint32) for text in texts)
+                parts.extend(_looked_up(number, chunks_of(text or "")) for text in texts)
             if ends and parts:
                 rows = pa.record_batch([pa.concat_arrays(names), pa.array(np.cumsum([len(p) for p in parts]))], ["id", "end"])
                 sink = pa.BufferOutputStream()
@@ -217,6 +229,12 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return _numbered(rows, block_bytes, shards).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, f"`{id_col}` {id_type}, ids array<int>")
 
 
+def lists_of(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column (null: empty), without a scalar object for each number."""
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return [flat[a:b].tolist() for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())]
+
+
 def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """encoded with the text of each row's ids."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
@@ -226,7 +244,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids", to
         for batch in batches:
             for a in range(0, batch.num_rows, 200):
                 part = batch.slice(a, 200)
-                texts = [model_of(path).decode(ids) if ids else "" for ids in part.column(at).to_pylist()]
+                texts = [model_of(path).decode(ids) if ids else "" for ids in lists_of(part.column(at))]
                 yield part.append_column(to, pa.array(texts, pa.string()))
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(to, T.StringType())]))

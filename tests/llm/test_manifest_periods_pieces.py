@@ -7,6 +7,7 @@ import zlib
 from fractions import Fraction
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -189,3 +190,12 @@ def test_a_model_that_crosses_markers():
 
     with pytest.raises(ValueError):
         pieces.check_model(Crossing())
+
+
+def test_lists_and_numbers_of_chunks():
+    """Sliced, null and empty lists; chunks are numbered as they first come."""
+    lists = pa.array([[9], [1, 2, 3], None, [], [4], [5, 6]], pa.list_(pa.int32()))
+    assert pieces.lists_of(lists.slice(1, 4)) == [[1, 2, 3], [], [], [4]] and pieces.lists_of(lists.slice(0, 0)) == []
+    number = pieces.numbering()
+    assert pieces._looked_up(number, ["b", "a", "b"]).tolist() == [0, 1, 0] and pieces._looked_up(number, ["c", "a"]).tolist() == [2, 1]
+    assert list(number) == ["b", "a", "c"] and pieces._looked_up(number, []).tolist() == []
